@@ -6,6 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lodework.operators import multivalue
+from lodework.tables import spread, table
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -13,8 +16,18 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
     raise NotImplementedError
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Values of the cells that hold two or more."""
+    return p4_values(spark, d).where("n_values > 1").drop("n_values").distinct()
+
+
+def p4_values(spark: SparkSession, d: str) -> DataFrame:
+    """Every value of every list cell."""
+    return multivalue.split_values(spread(table(spark, d, "records").select("record_id", "cells")))
+
+
 def queries() -> dict[str, Query]:
-    return {}
+    return {f.__name__: f for f in (p4_found, p4_values)}
 
 
 def oracle_sql() -> dict[str, str]:
