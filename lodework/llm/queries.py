@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodework.llm import keyness, leakage, mixing, spans, splitting
+from lodework.llm import keyness, leakage, markup, mixing, spans, splitting
 from lodework.tables import spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,15 @@ Query = Callable[[SparkSession, str], DataFrame]
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return markup.residue(spread(table(spark, d, "blocks")), markup.trained()).select("block_no", "family").distinct()
+
+
+def p3_clean(spark: SparkSession, d: str) -> DataFrame:
+    """Every block's text and table rows without markup."""
+    return markup.cleaned(spread(table(spark, d, "blocks")), markup.trained())
+
+
 def p5_scores(spark: SparkSession, d: str) -> DataFrame:
     """z-score of every term of every chunk within its tenant."""
     s = keyness.log_odds(keyness.postings(table(spark, d, "lexical_docs")))
@@ -74,7 +83,7 @@ def p9_portion(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p5_found, p5_scores, p6_found, p6_pieces, p7_found, p7_leaks, p8_mix, p8_shares, p9_found, p9_portion)}
+    return {f.__name__: f for f in (p3_found, p3_clean, p5_found, p5_scores, p6_found, p6_pieces, p7_found, p7_leaks, p8_mix, p8_shares, p9_found, p9_portion)}
 
 
 _POSTINGS = """
