@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodework.llm import keyness, leakage, markup, mixing, spans, splitting
+from lodework.llm import keyness, leakage, markup, mixing, spans, splitting, vectors
 from lodework.tables import spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,21 @@ Query = Callable[[SparkSession, str], DataFrame]
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
+def _nearest(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "indexed_chunks").where((F.col("embedding_version") == "sim-embed/96/v2") & vectors.usable(F.col("vector"), 96))
+    return vectors.nearest(rows, "chunk_no", "tenant_id", "vector", k=5)
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    near = _nearest(spark, d).where("cosine >= 0.8")
+    return near.select(F.least("key", "other").alias("chunk_no_a"), F.greatest("key", "other").alias("chunk_no_b")).distinct()
+
+
+def p2_nearest(spark: SparkSession, d: str) -> DataFrame:
+    """The 5 most similar chunks of every usable chunk."""
+    return _nearest(spark, d).withColumnsRenamed({"key": "chunk_no", "other": "neighbour_no"}).withColumn("cosine", F.round("cosine", 6))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return markup.residue(spread(table(spark, d, "blocks")), markup.trained()).select("block_no", "family").distinct()
 
@@ -83,7 +98,7 @@ def p9_portion(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p3_found, p3_clean, p5_found, p5_scores, p6_found, p6_pieces, p7_found, p7_leaks, p8_mix, p8_shares, p9_found, p9_portion)}
+    return {f.__name__: f for f in (p2_found, p2_nearest, p3_found, p3_clean, p5_found, p5_scores, p6_found, p6_pieces, p7_found, p7_leaks, p8_mix, p8_shares, p9_found, p9_portion)}
 
 
 _POSTINGS = """
