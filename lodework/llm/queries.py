@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodework.llm import keyness, leakage, markup, mixing, spans, splitting, vectors
+from lodework.llm import keyness, leakage, markup, mixing, names, spans, splitting, vectors
 from lodework.tables import spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,15 @@ Query = Callable[[SparkSession, str], DataFrame]
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return names.pairs(names.link(table(spark, d, "entities")))
+
+
+def p1_entities(spark: SparkSession, d: str) -> DataFrame:
+    """The entity (least vertex_id) of every person, studio and organisation row."""
+    return names.link(table(spark, d, "entities")).select("vertex_id", "entity")
+
+
 def _nearest(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "indexed_chunks").where((F.col("embedding_version") == "sim-embed/96/v2") & vectors.usable(F.col("vector"), 96))
     return vectors.nearest(rows, "chunk_no", "tenant_id", "vector", k=5)
@@ -98,7 +107,7 @@ def p9_portion(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p2_found, p2_nearest, p3_found, p3_clean, p5_found, p5_scores, p6_found, p6_pieces, p7_found, p7_leaks, p8_mix, p8_shares, p9_found, p9_portion)}
+    return {f.__name__: f for f in (p1_found, p1_entities, p2_found, p2_nearest, p3_found, p3_clean, p5_found, p5_scores, p6_found, p6_pieces, p7_found, p7_leaks, p8_mix, p8_shares, p9_found, p9_portion)}
 
 
 _POSTINGS = """
