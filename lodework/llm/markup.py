@@ -43,7 +43,7 @@ _TOKENS = [
     ("m_row", r"^[ \t]*\|(?=[^\n]*\|[ \t]*$)"),
     ("w_cell", r"^[ \t]*[|!](?![\[|])(?=[ \t]*\S[^\n]*$)"),
     ("w_magic", r"__(?:TOC|NOTOC|FORCETOC|NOEDITSECTION|NOINDEX)__|^#(?:REDIRECT|redirect)\b|~~~~~?(?!~)"),
-    ("w_heading", r"^[ \t]*(?P<eq>={2,6})(?=[^=\n][^\n]*?(?P=eq)[ \t]*$)|(?<=[^=\s])[ \t]*={2,6}[ \t]*$|^[ \t]*={2,6}(?=[ \t]*[^=\s][^=\n]*$)"),
+    ("w_heading", r"^[ \t]*(?P<eq>={2,6})(?=[^=\n][^\n]*?(?P=eq)[ \t]*$)|(?<=[^=\n])={2,6}[ \t]*$|^[ \t]*={2,6}(?=[ \t]*[^=\s][^=\n]*$)"),
     ("m_underline", r"^[ \t]*(?:={3,}|-{3,}|\*{3,}|_{3,})[ \t]*$"),
     ("m_heading", r"^[ \t]{0,3}#{1,6}(?=[ \t]+\S)"),
     ("m_quote", r"^[ \t]{0,3}(?:>[ \t]?)+(?=\S)"),
@@ -74,7 +74,9 @@ _TOKENS = [
     ("brace", r"[{}]"),
     ("bracket", r"\["),
 ]
-_SCAN = re.compile("|".join(f"(?P<{n}>{p})" for n, p in _TOKENS), re.MULTILINE)
+#: No token starts with another character, so most places of a text are passed over by one look.
+_STARTS = r"(?=[<&|{}\[\]\\$*_~`'!#>=/+-]|^[ \t])"
+_SCAN = re.compile(_STARTS + "(?:" + "|".join(f"(?P<{n}>{p})" for n, p in _TOKENS) + ")", re.MULTILINE)
 KINDS = [n for n, _ in _TOKENS if n not in ("brace", "bracket")] + ["m_link"]
 _KIND_NO = {k: i for i, k in enumerate(KINDS)}
 #: Kinds that come as an opener and a closer of their own spelling.

@@ -22,6 +22,7 @@ _NAMES = "Alder Benton Corvin Dalby Esker Fenwick Garrow Holt Ivers Jorund Kelso
 class _Maker:
     def __init__(self, seed: int) -> None:
         self.r = random.Random(seed)
+        self.pool = [x for _ in range(40) for x in self.look_alikes()]
 
     def word(self) -> str:
         return self.r.choice(_NAMES) if self.r.random() < 0.25 else self.r.choice(_WORDS)
@@ -167,8 +168,10 @@ class _Maker:
         return [("\\href{https://a.example}{", True), (w, False), ("}", True)]
 
     def literal(self) -> str:
-        r = self.r
-        return r.choice([
+        return self.r.choice(self.pool)
+
+    def look_alikes(self) -> list[str]:
+        return [
             f"{self.n(1, 40)} < {self.n(1, 40)}", f"held for {self.word()} > {self.n(1, 9)} in both", "R&D", "K&L", "AT&T", f"room {self.n(1, 9)} & wait", "<unk>", "the <pad> token", "a <mask> slot",
             f"{self.n(1, 9)} * {self.n(1, 9)} * {self.n(1, 9)}", f"{self.word().lower()}_{self.word().lower()}_v{self.n(1, 9)}", f"A_{self.n(1, 9)} and B_{self.n(1, 9)}", f"x_v{self.n(1, 9)}", "C#", f"#{self.n(1, 9)}",
             f"ranked #{self.n(1, 9)} in", f"${self.n()} and later ${self.n()}", f"for {self.n()}$ or ${self.n()},", f"${self.n()}", f"{self.n(2, 9)}^{self.n(2, 9)} crowns", f"~{self.n()} units", f"+/- 0.2 or ~{self.n(1, 9)}.",
@@ -176,7 +179,7 @@ class _Maker:
             f"C:\\{self.word().lower()}\\{self.word().lower()}", f"D:\\{self.word().lower()}\\tmp", f"Rated ** of five", f"a * of {self.word()}", "** stars", "-- and so", f"{self.word()} | {self.word()}", f"{self.word()}'s", "'quoted'", "rock 'n' roll", "the '90s",
             f"cost ${self.n()}, then ${self.n()}. It", f"i.e. {self.n()}, per", f"f(x) = {self.n()}", "a != b", "x <= 3 and y >= 4", f"<{self.n()} items", f"{self.word()}@mail.example", "https://site.example/a_b_c", "snake_case_name", f"{self.n()}-{self.n()}", "(*) marked", f"* {self.n()} per",
             f"\n> {self.n()} in both runs", f"\n= {self.n()}", f"\n== {self.n()}, said", "\n- and then", f"\n# {self.n()} of", f"\n{self.n()}. ", "\n** of five", "\n* of", f"\n| {self.n()}", "{ a, b }", "}", "{", "$", "`", "~", "^", "\n+ 3", "press [x] and type", f"5' {self.n(1, 11)}''", "\\o/", "50% & more",
-        ])
+        ]
 
     def sentence(self) -> str:
         s = self.words(5, 12)

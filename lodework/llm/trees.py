@@ -46,24 +46,23 @@ class Boosted:
         inner = 2**self.depth - 1
         feature, threshold, value = np.zeros(inner, dtype=np.int64), np.full(inner, np.inf), np.zeros(2**self.depth)
         node, width, size = np.zeros(len(g), dtype=np.int64), binned.shape[1], self.bins + 1
+        used = [j for j in range(width) if len(self.edges[j])]
+        columns, offset = binned[:, used], np.arange(len(used)) * size
+        weights_g, weights_h = np.repeat(g, len(used)), np.repeat(h, len(used))
+        limit = np.array([len(self.edges[j]) for j in used])
         for level in range(self.depth):
             first = 2**level - 1
             local, count = node - first, 2**level
-            best, gain_of = np.zeros((count, 2), dtype=np.int64), np.full(count, 1e-9)
-            for j in range(width):
-                if not len(self.edges[j]):
-                    continue
-                at = local * size + binned[:, j]
-                gs = np.bincount(at, g, count * size).reshape(count, size).cumsum(axis=1)
-                hs = np.bincount(at, h, count * size).reshape(count, size).cumsum(axis=1)
-                all_g, all_h = gs[:, -1:], hs[:, -1:]
-                ok = (hs >= self.least) & (all_h - hs >= self.least)
-                gain = gs**2 / (hs + self.ridge) + (all_g - gs) ** 2 / (all_h - hs + self.ridge) - all_g**2 / (all_h + self.ridge)
-                gain = np.where(ok, gain, -1.0)[:, : len(self.edges[j])]
-                top = gain.argmax(axis=1)
-                here = gain[np.arange(count), top]
-                better = here > gain_of
-                gain_of[better], best[better, 0], best[better, 1] = here[better], j, top[better]
+            shape, at = (count, len(used), size), (local[:, None] * (len(used) * size) + offset + columns).ravel()
+            gs = np.bincount(at, weights_g, count * len(used) * size).reshape(shape).cumsum(axis=2)
+            hs = np.bincount(at, weights_h, count * len(used) * size).reshape(shape).cumsum(axis=2)
+            all_g, all_h = gs[:, :, -1:], hs[:, :, -1:]
+            ok = (hs >= self.least) & (all_h - hs >= self.least) & (np.arange(size) < limit[:, None])
+            gain = gs**2 / (hs + self.ridge) + (all_g - gs) ** 2 / (all_h - hs + self.ridge) - all_g**2 / (all_h + self.ridge)
+            gain = np.where(ok, gain, -1.0).reshape(count, -1)
+            top = gain.argmax(axis=1)
+            gain_of = gain[np.arange(count), top]
+            best = np.stack([np.array(used)[top // size], top % size], axis=1)
             go = np.zeros(len(g), dtype=bool)
             for k in range(count):
                 if gain_of[k] > 1e-9:
