@@ -75,16 +75,17 @@ def _mark(frames: Iterator[pd.DataFrame], grams: Grams) -> Iterator[pd.DataFrame
                     keys.append(key)
                     texts.append(text)
                     found.append(sorted(set(ids)))
-        yield pd.DataFrame({"doc_key": keys, "doc_text": texts, "grams": found})
+        if keys:
+            yield pd.DataFrame({"doc_key": keys, "doc_text": texts, "grams": found})
 
 
 def seeds(grams: Grams, frequency: dict[int, int], run: int) -> list[set[int]]:
-    """Per passage the rarest gram of every window of `run` words (of the whole passage where it is shorter)."""
+    """Per passage, of every window of `run` words (of the whole passage where it is shorter), the rarest gram that occurs."""
     span = max(1, run - grams.n + 1)
     out = []
     for own in grams.grams_of:
-        rank = [(frequency.get(g, 0), g) for g in own]
-        out.append({min(rank[i : i + span])[1] for i in range(max(1, len(own) - span + 1))})
+        rank = [(frequency.get(g, 0) == 0, frequency.get(g, 0), g) for g in own]
+        out.append({min(rank[i : i + span])[2] for i in range(max(1, len(own) - span + 1))})
     return out
 
 
