@@ -334,24 +334,31 @@ def features(text: str, block_kind: str, nodes: list[Node]) -> np.ndarray:
     return out
 
 
+#: Formulas: their source is kept, and what stands in them is theirs.
+_MATH = {"l_math", "l_display", "l_inline"}
+
+
 def decode(nodes: list[Node]) -> None:
     """Marks the nodes of the likeliest consistent set, by their scores (log-odds).
 
-    Per node the best of taking it or leaving it, children first. Below a taken fence nothing can be taken. A node
+    Per node the best of taking it or leaving it, children first. Below a taken fence nothing can be taken, below a taken formula nothing of another family. A node
     without a score of its own above zero is taken with its children of the same family if together they gain.
     """
     take, leave = [0.0] * len(nodes), [0.0] * len(nodes)
     for i in range(len(nodes) - 1, -1, -1):
         n = nodes[i]
-        fence = n.kind == "m_fence"
+        fence, formula = n.kind == "m_fence", n.kind in _MATH
         holds = n.kind in ("h_tag", "w_table", "l_env")
         for j in n.children:
             child = max(take[j], leave[j])
-            if not fence:
+            same = nodes[j].kind[0] == n.kind[0]
+            if not fence and (same or not formula):
                 take[i] += child
-            same = holds and nodes[j].kind[0] == n.kind[0]
+            same = same and holds
             leave[i] += leave[j] if same else child
         take[i] += n.score
+        if fence and n.score > 0:  # a fence stands by itself, whatever its code looks like
+            leave[i] = -math.inf
     state = [False] * len(nodes)
     for i, n in enumerate(nodes):  # parents come first
         barred = False
@@ -359,8 +366,10 @@ def decode(nodes: list[Node]) -> None:
         if up >= 0:
             p = nodes[up]
             holds = p.kind in ("h_tag", "w_table", "l_env") and p.kind[0] == n.kind[0]
-            barred = (p.kind == "m_fence" and p.taken) or state[up] or (holds and not p.taken)
-            state[i] = state[up] or (p.kind == "m_fence" and p.taken)
+            formula = p.kind in _MATH and p.kind[0] != n.kind[0]
+            opaque = p.taken and (p.kind == "m_fence" or formula)
+            barred = opaque or state[up] or (holds and not p.taken)
+            state[i] = state[up] or opaque
         n.taken = not barred and take[i] > leave[i]
 
 
@@ -377,14 +386,21 @@ def analyse(text: str, block_kind: str, model: Boosted) -> list[Node]:
 
 _DROPPED = {"cite", "citep", "citet", "ref", "eqref", "label", "includegraphics", "usepackage", "documentclass", "url"}
 _HEADS = {"section": 1, "chapter": 1, "title": 1, "subsection": 2, "subsubsection": 3, "paragraph": 4}
-_MATH = {"l_math", "l_display", "l_inline"}
+
+
+def _in_formula(nodes: list[Node], n: Node) -> bool:
+    while n.parent >= 0:
+        n = nodes[n.parent]
+        if n.taken and n.kind in _MATH:
+            return True
+    return False
 
 
 def clean(text: str, nodes: list[Node]) -> str:
     """text without its taken markup. Headings keep one '#' per level, list items a dash, code its fence, formulas their source."""
     edits: list[tuple[int, int, str]] = []
     for n in nodes:
-        if not n.taken:
+        if not n.taken or _in_formula(nodes, n):
             continue
         token, inner, name = text[n.start : n.mid], text[n.mid : n.close], ""
         if n.kind == "h_tag":
@@ -466,7 +482,7 @@ _SUSPECT = r"[<>&*_`#\[\]{}\\$|~=+]|''|(?m)^\s*-"
 
 
 def _candidates(blocks: DataFrame) -> DataFrame:
-    cells = F.filter(F.flatten(F.coalesce("table_rows", F.array().cast("array<array<string>>"))), lambda c: c.rlike(_SUSPECT))
+    cells = F.filter(F.flatten(F.array_compact(F.coalesce("table_rows", F.array().cast("array<array<string>>")))), lambda c: c.rlike(_SUSPECT))
     rows = blocks.where(F.coalesce(~F.col("kind").isin("code", "record"), F.lit(True)))
     rows = rows.select("block_no", F.coalesce("kind", F.lit("prose")).alias("kind"), "text", F.coalesce(cells, F.array().cast("array<string>")).alias("cells"))
     return rows.where(F.coalesce(F.col("text").rlike(_SUSPECT), F.lit(False)) | (F.size("cells") > 0))

@@ -10,7 +10,7 @@ import random
 
 import numpy as np
 
-from lodework.llm.markup import features, parse
+from lodework.llm.markup import FAMILIES, features, parse
 
 _WORDS = (
     "amber basin candle delta engine forest garden hollow island jacket kettle ladder meadow nickel orchard paper quarry river "
@@ -185,46 +185,52 @@ class _Maker:
         s = self.words(5, 12)
         return s[0].upper() + s[1:] + "."
 
+    def made(self, family: str) -> list[tuple[str, int]]:
+        """A construct of a family as (text, number of the family whose markup it is, 0 for plain text)."""
+        return [(t, FAMILIES.index(family) + 1 if m else 0) for t, m in getattr(self, family)()]
+
     def sample(self) -> tuple[str, str, np.ndarray]:
-        """text, block kind, and per character whether it is markup."""
+        """text, block kind, and per character the number of the family whose markup it is (0: none)."""
         r = self.r
         kind = r.choice(["prose", "prose", "prose", "list", "table", "caption", "heading"])
-        pieces: list[tuple[str, bool]] = []
+        pieces: list[tuple[str, int]] = []
         n = 1 if kind in ("table", "caption", "heading") else r.randint(1, 6)
         rich = r.random() < 0.75
-        family = r.choice(["html", "markdown", "wiki", "latex", "any"])
+        family = r.choice([*FAMILIES, ""])
         for _ in range(n):
             if kind == "list":
-                pieces.append(("\n- ", False))
-            body = [(self.words(1, 3) if n == 1 else self.sentence(), False)]
+                dash = [("- ", 0)]
+                if rich and r.random() < 0.06:  # markup around the dash
+                    dash = r.choice([[("> ", 2), *dash], [("~~", 2), ("-", 0), ("~~", 2), (" ", 0)], [("<p>", 1), *dash]])
+                pieces += [("\n", 0), *dash]
+            body = [(self.words(1, 3) if n == 1 else self.sentence(), 0)]
             for _ in range(r.randint(0, 2)):
-                body.append((" " + self.literal() + r.choice([" ", " ", ", ", ". "]), False))
-                body.append((self.words(), False))
+                body.append((" " + self.literal() + r.choice([" ", " ", ", ", ". "]), 0))
+                body.append((self.words(), 0))
             if rich and r.random() < 0.7:
-                f = family if family != "any" else r.choice(["html", "markdown", "wiki", "latex"])
-                made = getattr(self, f)()
+                made = self.made(family or r.choice(FAMILIES))
                 if kind in ("table", "caption", "heading") and any("\n" in t for t, _ in made) and r.random() < 0.6:
-                    made = self.html() if r.random() < 0.5 else self.latex()
+                    made = self.made(r.choice(["html", "latex"]))
                 if r.random() < 0.12:  # one construct within another
                     i = next((i for i, (t, m) in enumerate(made) if not m and "\n" not in t), None)
                     if i is not None:
-                        made[i : i + 1] = getattr(self, r.choice(["html", "latex", "wiki", "markdown"]))()
+                        made[i : i + 1] = self.made(r.choice(FAMILIES))
                 glue = "" if r.random() < 0.3 else " "
                 at = r.randint(0, len(body))
-                body[at:at] = [(glue, False), *made, (glue, False)]
+                body[at:at] = [(glue, 0), *made, (glue, 0)]
             if len(body) == 1 and r.random() < 0.5 and kind == "heading" and rich:
-                body = getattr(self, r.choice(["html", "markdown", "wiki", "latex"]))()
-            pieces += [*body, (" ", False)]
+                body = self.made(r.choice(FAMILIES))
+            pieces += [*body, (" ", 0)]
         if r.random() < 0.25:  # white space gone astray in running text
             pieces = [(t if m else "".join(r.choice("\n\t ") + " " * (r.random() < 0.3) if c == " " and r.random() < 0.25 else c for c in t), m) for t, m in pieces]
         text = "".join(t for t, _ in pieces)
-        label = np.concatenate([np.full(len(t), m) for t, m in pieces]) if text else np.zeros(0, dtype=bool)
+        label = np.concatenate([np.full(len(t), m) for t, m in pieces]) if text else np.zeros(0, dtype=int)
         cut = len(text) - len(text.lstrip("\n"))
         return text[cut:], kind, label[cut:]
 
 
 def labelled(size: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels of all candidate nodes of `size` generated texts."""
+    """Features and labels of all candidate nodes of `size` generated texts. A node is positive within markup of its own family."""
     maker, xs, ys = _Maker(seed), [], []
     for _ in range(size):
         text, kind, label = maker.sample()
@@ -232,5 +238,6 @@ def labelled(size: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
         if nodes:
             xs.append(features(text, kind, nodes))
             # a line's node may open with blanks or at a dash of the text: its last character decides
-            ys.append(np.array([bool(label[max(n.start, n.mid - 1)]) or bool(label[n.start]) for n in nodes], dtype=float))
+            own = [FAMILIES.index(n.family) + 1 for n in nodes]
+            ys.append(np.array([label[max(n.start, n.mid - 1)] == k or label[n.start] == k for n, k in zip(nodes, own, strict=True)], dtype=float))
     return np.concatenate(xs), np.concatenate(ys)
