@@ -8,7 +8,7 @@ from lodework.llm import vectors
 
 def clustered(n, d=32, seed=0):
     rng = np.random.default_rng(seed)
-    centres = rng.normal(size=(n // 5, d))
+    centres = rng.normal(size=(max(1, n // 5), d))
     return (centres[rng.integers(0, len(centres), n)] + 0.3 * rng.normal(size=(n, d))).astype(np.float32)
 
 
