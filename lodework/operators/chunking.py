@@ -18,7 +18,7 @@ TARGET, MOST, OVERLAP, ROWS_PER_CHUNK, LEAST_TOKENS, LEAST_ALPHA = 500, 600, 100
 BOILERPLATE = r"(?i)^\s*(?:table of contents|all rights reserved|copyright|page \d+(?: of \d+)?|click here|cookie policy|privacy policy|subscribe)\b"
 
 _HEADING = re.compile(r"^[ \t]{0,3}(#{1,6})[ \t]+(\S.*?)[ \t]*#*[ \t]*$")
-_SEPARATOR = re.compile(r"^\s*\|?\s*:?-{2,}:?\s*(\|\s*:?-{2,}:?\s*)+\|?\s*$")
+_SEPARATOR = re.compile(r"^\s*\|?\s*:?-+:?\s*(\|\s*:?-+:?\s*)+\|?\s*$")
 _LIST = re.compile(r"^\s*(?:[-*+•]|\d+[.)])\s+")
 _PIECE = re.compile(r"\w+|[^\w\s]")
 

@@ -83,3 +83,27 @@ def slowest(steps: DataFrame, n: int, contract: list[str]) -> DataFrame:
     """The n slowest requests with a column per step; only they are pivoted."""
     total = steps.groupBy("request_id").agg(F.round(F.sum("latency_ms"), 4).alias("total_ms")).orderBy(F.desc("total_ms"), "request_id").limit(n)
     return steps.join(F.broadcast(total), "request_id").groupBy("request_id", "total_ms").pivot("step", contract).agg(F.round(F.sum("latency_ms"), 4)).fillna(0.0)
+
+
+# The configurations that are compared, by the paths they use.
+CONFIGURATIONS = [
+    ("A", "Vector", "vector", False, False), ("B", "BM25", "lexical", False, False), ("C", "Graph", "graph", False, False), ("D", "Vector+BM25", "vector lexical", False, False),
+    ("E", "Vector+Graph", "vector graph", False, False), ("F", "Hybrid", "vector lexical graph", False, False), ("G", "Hybrid+RRF", "vector lexical graph", True, False), ("H", "Full+Reranker", "vector lexical graph", True, True),
+]
+
+
+def pass_rule(rule: Column, texts: Column, expected: Column, forbidden: Column, intent: Column, want_intent: Column, graph_edges: Column, least_edges: Column, passages: Column, rejected: Column) -> Column:
+    """Whether a case passes by its own rule. Missing lists are empty; an unknown rule asks for any passage."""
+    none = F.array().cast("array<string>")
+    joined = F.lower(F.array_join(F.coalesce(texts, none), " "))
+    holds = lambda words, test: test(F.coalesce(words, none), lambda t: F.contains(joined, F.lower(t)))
+    return (
+        F.when(rule == "rejects", rejected)
+        .when(rejected, F.lit(False))
+        .when(rule == "abstains", ~holds(forbidden, F.exists))
+        .when(rule == "routes_to", intent.eqNullSafe(want_intent))
+        .when(rule == "clarifies", intent.eqNullSafe(F.lit("clarify")))
+        .when(rule == "retrieves_graph", graph_edges >= F.greatest(F.lit(1), F.coalesce(least_edges, F.lit(1))))
+        .when(rule == "retrieves_text", holds(expected, F.forall))
+        .otherwise(passages > 0)
+    )

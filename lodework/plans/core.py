@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodework.functions import text as tx
-from lodework.operators import chunking, community, context, extract, graph, guards, metrics, multivalue, resolve, retrieval, structured, understand
+from lodework.operators import chunking, community, context, extract, graph, guards, metrics, multivalue, proposals, resolve, retrieval, structured, understand
 from lodework.plans import engine
 from lodework.session import kept
 from lodework.streaming import streams
@@ -208,6 +208,43 @@ def configuration_lift(spark: SparkSession, d: str) -> DataFrame:
     return metrics.lift(_metrics(spark, d, "query_text"), _metrics(spark, d, "passage"), "recall")
 
 
+@_query
+def configurations(spark: SparkSession, d: str) -> DataFrame:
+    """Quality of eight configurations over the same questions: which lists they stack, fuse and rerank."""
+    q = _queries(spark, d).withColumn("query_text", F.col("passage"))
+    c = _chunks(spark, d)
+    lexical = retrieval.top(retrieval.bm25(_index(spark, d), retrieval.query_terms(q)), 30).select("query_id", "doc", F.lit("lexical").alias("path"), "rank")
+    vector = retrieval.sparse_search(retrieval.hash_embed(q, "query_id", "query_text"), retrieval.hash_embed(c), 30).select("query_id", "doc", F.lit("vector").alias("path"), "rank")
+    nodes = graph.traverse(table(spark, d, "edges"), _seeds(spark, d), 1)
+    by_graph = graph.graph_to_text(nodes, table(spark, d, "mentions")).join(c.select("doc", "chunk_id"), "chunk_id").select("query_id", "doc", F.lit("graph").alias("path"), "rank")
+    order = F.when(F.col("path") == "vector", 1).when(F.col("path") == "lexical", 2).otherwise(3)
+    lists = kept(lexical.unionByName(vector).unionByName(by_graph).withColumn("list_no", order))
+    relevant = kept(_relevant(spark, d))
+    out = None
+    for key, name, paths, rrf, again in metrics.CONFIGURATIONS:
+        own = lists.where(F.col("path").isin(paths.split()))
+        ranked = retrieval.fuse(own, 30) if rrf else retrieval.first_seen(own)
+        ranked = retrieval.rerank(ranked, q, c, 10) if again else ranked
+        m = metrics.ranking_metrics(ranked, relevant, q).where("n_relevant > 0")
+        row = m.agg(F.lit(key).alias("config"), F.lit(name).alias("name"), F.count(F.lit(1)).alias("n"), *[F.round(F.avg(x), 6).alias(x) for x in ("recall", "precision", "mrr", "ndcg")])
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@_query
+def passed_cases(spark: SparkSession, d: str) -> DataFrame:
+    """Every question by a rule: refusals by intent, the rest by whether its expected text was retrieved."""
+    q = _queries(spark, d)
+    hits = retrieval.top(retrieval.bm25(_index(spark, d), retrieval.query_terms(q, text="passage")), 5).join(_chunks(spark, d).select("doc", "text"), "doc")
+    got = hits.groupBy("query_id").agg(F.collect_list("text").alias("texts"), F.count(F.lit(1)).alias("passages"))
+    a = understand.analyse(q).select("query_id", "intent").join(got, "query_id", "left")
+    rows = q.join(a, "query_id")
+    rule = F.when(F.col("rule") == "REFUSES", "abstains").when(F.col("rule") == "ANSWERS", "retrieves_any").otherwise("retrieves_text")
+    null = F.lit(None).cast("string")
+    ok = metrics.pass_rule(rule, F.col("texts"), F.col("expected_text"), F.col("expected_text"), F.col("intent"), null, F.lit(0), F.lit(None).cast("int"), F.coalesce("passages", F.lit(0)), F.lit(False))
+    return rows.select("query_id", rule.alias("rule"), ok.alias("passed"))
+
+
 @_query
 def gate_report(spark: SparkSession, d: str) -> DataFrame:
     m = _metrics(spark, d, "query_text").agg(F.avg("recall").alias("r"), F.avg("mrr").alias("m"))
@@ -490,6 +527,20 @@ def mentions_remapped(spark: SparkSession, d: str) -> DataFrame:
     return resolve.remap(table(spark, d, "mentions"), e)
 
 
+_GENERIC = engine.extract.vo.DOMAINS["generic"]
+
+
+@_query
+def coerced_labels(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "entities").select("vertex_id", proposals.coerce_label(F.col("label"), _GENERIC["labels"]).alias("label"))
+
+
+@_query
+def coerced_edges(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "edges").groupBy("edge_type").agg(F.count(F.lit(1)).alias("n"))
+    return e.select("edge_type", proposals.coerce_relation(F.col("edge_type"), _GENERIC["edges"]).alias("coerced"), "n")
+
+
 # ---------------------------------------------------------------- queries
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from lodework.functions import text as tx
 from lodework.functions import vocabulary as vo
-from lodework.operators import chunking, guards, structured, understand
+from lodework.operators import chunking, guards, proposals, structured, understand
 
 _Q = "'" + "', '".join(tx.STOPWORDS) + "'"
 
@@ -209,7 +209,7 @@ SELECT query_id, doc, row_number() OVER (PARTITION BY query_id ORDER BY score DE
 SELECT * FROM f UNION ALL SELECT query_id, doc, 'fallback' AS path, rank FROM lists WHERE path = 'passage' AND rank <= 3 AND query_id NOT IN (SELECT query_id FROM f)""",
     "relevant_chunks": f"WITH {_CHUNKS}, {_RELEVANT} SELECT query_id, doc FROM rel",
     "marker_counts": "SELECT marker, count(*) AS n FROM (SELECT DISTINCT unnest(expected_text) AS marker FROM queries) JOIN documents ON contains(lower(text), lower(marker)) GROUP BY 1",
-    "ranking_metrics": _INDEX + _bm25("a", "query_text") + _metrics("a") + " SELECT query_id, n_relevant, recall, precision, mrr, ndcg, hit FROM m",
+    "ranking_metrics": _INDEX + _bm25("a", "query_text") + _metrics("a") + " SELECT query_id, n_relevant, recall, precision, mrr, ndcg, CAST(hit AS DOUBLE) AS hit FROM m",
     "metrics_by_category": _INDEX + _bm25("a", "query_text") + _metrics("a") + " SELECT category, CAST(grouping(category) AS INT) AS is_total, count(*) AS n, round(avg(recall), 6) AS recall, round(avg(precision), 6) AS precision, round(avg(mrr), 6) AS mrr, round(avg(ndcg), 6) AS ndcg, round(avg(hit), 6) AS hit FROM m GROUP BY GROUPING SETS ((category), ())",
     "gate_report": _INDEX + _bm25("a", "query_text") + _metrics("a") + """, va AS (SELECT 'recall' AS name, round(avg(recall), 4) AS value FROM m UNION ALL SELECT 'mrr', round(avg(mrr), 4) FROM m),
 ru AS (SELECT * FROM (VALUES ('recall', '>=', CAST(0.7 AS DOUBLE), false), ('mrr', '>=', 0.6, false), ('isolation', '>=', 1.0, true)) t(name, op, target, hard))
@@ -261,21 +261,22 @@ SELECT block_no, part, n_rows, CASE WHEN len(h) > 0 THEN array_to_string(h, ' |
 CASE WHEN kind = 'prose' AND len(section_path) > 0 THEN array_to_string(section_path, ' > ') || chr(10) || chr(10) || text ELSE text END AS embedded FROM blocks""",
     "document_summary": "SELECT tenant_id, doc_key, " + ", ".join(f"count(*) FILTER (WHERE kind = '{k}') AS n_{k}" for k in ("heading", "prose", "list", "table", "code", "caption", "record")) + ", CAST(sum(coalesce(length(text), 0)) AS BIGINT) AS n_chars, count(*) AS n_blocks FROM blocks GROUP BY ALL",
     "column_profiles": _PROFILE + ' SELECT tenant_id, "column", multi_valued, occurrences, distinct_values, mean_length, role, label FROM prof',
-    "record_edges": _RECORDGRAPH + f""", ee AS (SELECT DISTINCT tenant_id, {_ident('subject_label', 'subject_name')} AS source_id, CASE WHEN role = 'attribute' THEN 'HAS_ATTRIBUTE' ELSE {_case("replace(lower(\"column\"), '_', ' ')", structured.EDGES, "'ASSOCIATED_WITH'")} END AS edge_type, {_ident('label', 'value')} AS target_id, record_id, 1.0 AS confidence FROM bo)
+    "record_edges": _RECORDGRAPH + f""", ee AS (SELECT DISTINCT tenant_id, {_ident('subject_label', 'subject_name')} AS source_id, CASE WHEN role = 'attribute' THEN 'HAS_ATTRIBUTE' ELSE {_case("replace(lower(\"column\"), '_', ' ')", structured.EDGES, "'ASSOCIATED_WITH'")} END AS edge_type, {_ident('label', 'value')} AS target_id, record_id, CAST(1.0 AS DOUBLE) AS confidence FROM bo)
 SELECT * FROM ee WHERE source_id <> target_id""",
     "record_vertices": _RECORDGRAPH + f""" SELECT tenant_id, entity_id, label, min(name) AS name FROM (SELECT tenant_id, {_ident('subject_label', 'subject_name')} AS entity_id, subject_label AS label, subject_name AS name FROM nm UNION ALL SELECT tenant_id, {_ident('label', 'value')}, label, value FROM bo) GROUP BY ALL""",
     "records_verbalized": _PROFILE + _SUBJECT + """, li AS (SELECT c.record_id, c.ordinal, CASE WHEN c."column" = subject THEN 0 ELSE 1 END AS f, CASE WHEN c."column" = subject THEN '# ' || value ELSE c."column" || ': ' || value END AS line FROM cells_ c JOIN prof p USING (tenant_id, "column") LEFT JOIN sub USING (tenant_id) WHERE role <> 'ignore')
 SELECT record_id, string_agg(line, chr(10) ORDER BY f, ordinal, line) AS text FROM li GROUP BY 1""",
-    "resolution_matches": f"""WITH n AS (SELECT tenant_id, label, {_norm('entity_name')} AS norm, min(vertex_id) AS id FROM entities WHERE entity_name IS NOT NULL GROUP BY ALL HAVING {_norm('entity_name')} <> ''),
+    "resolution_matches": f"""WITH n0 AS (SELECT tenant_id, label, {_norm('entity_name')} AS norm, vertex_id FROM entities WHERE entity_name IS NOT NULL),
+n AS (SELECT tenant_id, label, norm, min(vertex_id) AS id FROM n0 WHERE norm <> '' GROUP BY ALL),
 k AS (SELECT *, unnest(list_distinct(list_concat([label || ':' || substr(norm, 1, 3)], list_transform(list_filter(string_split(norm, '_'), lambda t: length(t) >= 4), lambda t: label || ':tok:' || t)))) AS key FROM n),
 c AS (SELECT DISTINCT a.id AS a, b.id AS b, a.norm AS norm_a, b.norm AS norm_b FROM k a JOIN k b ON a.tenant_id = b.tenant_id AND a.key = b.key AND a.id < b.id)
 SELECT a, b, norm_a, norm_b, round(jaro_winkler_similarity(strip_accents(norm_a), strip_accents(norm_b)), 4) AS score FROM c WHERE round(jaro_winkler_similarity(strip_accents(norm_a), strip_accents(norm_b)), 4) >= 0.85""",
     "mentions_remapped": f"""WITH e AS (SELECT tenant_id, entity_id, min({_ident('label', 'entity_name')}) AS canonical_id FROM entities WHERE entity_id IS NOT NULL GROUP BY ALL)
 SELECT DISTINCT m.tenant_id, coalesce(canonical_id, m.entity_id) AS entity_id, chunk_id FROM mentions m LEFT JOIN e ON e.tenant_id = m.tenant_id AND e.entity_id = m.entity_id WHERE m.entity_id IS NOT NULL AND chunk_id IS NOT NULL""",
-    "query_analysis": _ANALYSE + " SELECT query_id, array_to_string(mentions, '|') AS mentions, array_to_string(identifiers, '|') AS identifiers, hops, global_score, local_score, lexical_score, intent, confidence FROM an",
+    "query_analysis": _ANALYSE + " SELECT query_id, array_to_string(mentions, '|') AS mentions, array_to_string(identifiers, '|') AS identifiers, hops, CAST(global_score AS DOUBLE) AS global_score, CAST(local_score AS DOUBLE) AS local_score, CAST(lexical_score AS DOUBLE) AS lexical_score, intent, CAST(confidence AS DOUBLE) AS confidence FROM an",
     "query_plans": _ANALYSE + f""" SELECT query_id, intent, true AS use_vector, {_pick('true', 'true', 'true', 'false')} AS use_lexical, {_pick('anchor', 'anchor', 'anchor', 'false')} AS use_graph, {_pick('false', 'false', 'NOT anchor', 'true')} AS use_community, {_pick('true', 'false', 'anchor', 'false')} AS use_expansion,
 {_pick('20', '10', '20', '20')} AS vector_k, {_pick('20', '20', '20', '0')} AS lexical_k, {_pick('least(hops + 1, 3)', '1', 'least(hops + 1, 3)', '0')} AS graph_depth, {_pick('CASE WHEN hops > 1 THEN 2 ELSE 1 END', '0', '1', '0')} AS expansion_hops,
-{_pick('1.0', '0.7', '1.0', '1.0')} AS w_vector, {_pick('0.8', '1.6', '1.0', '0.0')} AS w_lexical, {_pick('1.4', '0.6', '1.0', '0.0')} AS w_graph, {_pick('0.0', '0.0', '0.8', '1.5')} AS w_community FROM an""",
+CAST({_pick('1.0', '0.7', '1.0', '1.0')} AS DOUBLE) AS w_vector, CAST({_pick('0.8', '1.6', '1.0', '0.0')} AS DOUBLE) AS w_lexical, CAST({_pick('1.4', '0.6', '1.0', '0.0')} AS DOUBLE) AS w_graph, CAST({_pick('0.0', '0.0', '0.8', '1.5')} AS DOUBLE) AS w_community FROM an""",
     "context_resolved": """WITH t AS (SELECT tenant_id AS conv_id, query_id AS turn, CASE WHEN query_id % 14 = 0 THEN 'what about it?' WHEN query_id % 7 = 0 THEN 'more' ELSE query_text END AS text FROM queries),
 b AS (SELECT *, trim(lag(text) OVER (PARTITION BY conv_id ORDER BY turn)) AS before, CASE WHEN turn % 14 = 0 THEN 'anaphora_without_antecedent' WHEN turn % 7 = 0 THEN 'continuation_without_prior_turn' END AS reason FROM t)
 SELECT conv_id, turn, text, reason, CASE WHEN reason IS NULL OR before IS NULL OR before = '' THEN text ELSE before END AS resolved_text FROM b""",
@@ -283,4 +284,9 @@ SELECT conv_id, turn, text, reason, CASE WHEN reason IS NULL OR before IS NULL O
     "tenant_purity": "SELECT m.tenant_id, count(*) AS n, count(*) FILTER (WHERE m.tenant_id <> c.tenant_id) AS foreign_rows FROM mentions m JOIN indexed_chunks c USING (chunk_id) WHERE m.entity_id IS NOT NULL GROUP BY 1",
     "rate_limit_window": "SELECT event_id, count(*) OVER w AS arrivals, count(*) OVER w > 3 AS over FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 3600 SECONDS PRECEDING AND CURRENT ROW)",
     "latency_windows": "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type AS step, count(*) AS calls, round(sum(value) / count(*), 6) AS mean_value FROM events GROUP BY ALL",
+    "coerced_labels": "SELECT vertex_id, CASE WHEN label IN " + _in(vo.DOMAINS["generic"]["labels"]) + " THEN label " + " ".join(f"WHEN lower(label) = '{k}' THEN '{v}'" for k, v in [*((a.lower(), a) for a in vo.DOMAINS["generic"]["labels"]), *proposals.LABELS.items()]) + " ELSE 'Entity' END AS label FROM entities",
+    "coerced_edges": "SELECT edge_type, CASE WHEN replace(upper(edge_type), '-', '_') IN " + _in(vo.DOMAINS["generic"]["edges"]) + " THEN upper(edge_type) " + " ".join(f"WHEN lower(edge_type) = '{k}' THEN '{v}'" for k, v in proposals.RELATIONS.items()) + " END AS coerced, count(*) AS n FROM edges GROUP BY ALL",
+    "passed_cases": _INDEX + _bm25("a", "passage") + """, h AS (SELECT a_r.query_id, lower(string_agg(text, ' ' ORDER BY text)) AS joined, count(*) AS n FROM a_r JOIN c USING (doc) WHERE rank <= 5 GROUP BY 1)
+SELECT q.query_id, CASE rule WHEN 'REFUSES' THEN 'abstains' WHEN 'ANSWERS' THEN 'retrieves_any' ELSE 'retrieves_text' END AS rule, CASE rule WHEN 'REFUSES' THEN len(list_filter(coalesce(expected_text, []), lambda t: contains(coalesce(joined, ''), lower(t)))) = 0
+WHEN 'ANSWERS' THEN coalesce(n, 0) > 0 ELSE len(list_filter(coalesce(expected_text, []), lambda t: NOT contains(coalesce(joined, ''), lower(t)))) = 0 END AS passed FROM queries q LEFT JOIN h USING (query_id)""",
 }

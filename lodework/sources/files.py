@@ -97,7 +97,8 @@ def html_text(column: str) -> F.Column:
     c = F.regexp_replace(c, r"<[^>]+>", "")
     for name, sign in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         c = F.replace(c, F.lit(name), F.lit(sign))
-    return F.trim(F.regexp_replace(F.regexp_replace(c, r"[ \t]+\n", "\n"), r"\n{3,}", "\n\n"))
+    c = F.regexp_replace(F.regexp_replace(c, r"[ \t]+\n", "\n"), r"\n{3,}", "\n\n")
+    return F.regexp_replace(c, r"^\s+|\s+$", "")
 
 
 def read_html(spark: SparkSession, path: str) -> DataFrame:
