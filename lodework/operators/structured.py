@@ -55,7 +55,7 @@ def profile_columns(records: DataFrame) -> DataFrame:
     cells = cells_of(records)
     multi = cells.groupBy("tenant_id", "column").agg(F.max(F.col("value").rlike(tx.MULTI_VALUE)).alias("multi_valued"), F.min("ordinal").alias("ordinal"))
     per_value = cells.groupBy("tenant_id", "column", "value").agg(F.count(F.lit(1)).alias("n"))
-    rows = per_value.join(F.broadcast(multi), ["tenant_id", "column"])
+    rows = per_value.join(multi, ["tenant_id", "column"])
     values = F.when(F.col("multi_valued"), tx.split_values(F.col("value"), tx.NULLS_COLUMN)).otherwise(F.array("value"))
     each = rows.select("tenant_id", "column", "multi_valued", "ordinal", "n", F.explode(values).alias("v"))
     each = each.groupBy("tenant_id", "column", "multi_valued", "ordinal", F.lower("v").alias("low")).agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.length("v")).alias("chars"))
@@ -88,8 +88,8 @@ def record_graph(records: DataFrame, profiles: DataFrame) -> tuple[DataFrame, Da
     The subject of a row is linked with up to 8 values of each other entity or attribute column; long cells, free text
     and ignored columns are left out. Confidence is 1, as tables state facts.
     """
-    roles = F.broadcast(profiles.select("tenant_id", "column", "role", "label", "multi_valued"))
-    subjects = F.broadcast(subject_column(profiles))
+    roles = profiles.select("tenant_id", "column", "role", "label", "multi_valued")
+    subjects = subject_column(profiles)
     cells = cells_of(records).join(roles, ["tenant_id", "column"]).join(subjects, "tenant_id")
     named = cells.where("column = subject").groupBy("record_id", "tenant_id").agg(F.min_by("value", "ordinal").alias("subject_name"), F.first("label").alias("subject_label"))
     values = F.when(F.col("multi_valued"), tx.split_values(F.col("value"))).otherwise(F.array("value"))
@@ -106,8 +106,8 @@ def record_graph(records: DataFrame, profiles: DataFrame) -> tuple[DataFrame, Da
 
 def verbalize(records: DataFrame, profiles: DataFrame) -> DataFrame:
     """(record_id, text): the subject as a heading, then 'column: value' lines without ignored columns."""
-    roles = F.broadcast(profiles.select("tenant_id", "column", "role"))
-    cells = cells_of(records).join(roles, ["tenant_id", "column"]).join(F.broadcast(subject_column(profiles)), "tenant_id", "left").where("role <> 'ignore'")
+    roles = profiles.select("tenant_id", "column", "role")
+    cells = cells_of(records).join(roles, ["tenant_id", "column"]).join(subject_column(profiles), "tenant_id", "left").where("role <> 'ignore'")
     line = F.when(F.col("column") == F.col("subject"), F.concat(F.lit("# "), "value")).otherwise(F.concat("column", F.lit(": "), "value"))
     first = F.when(F.col("column") == F.col("subject"), 0).otherwise(1)
     rows = cells.groupBy("record_id").agg(F.sort_array(F.collect_list(F.struct(first.alias("f"), "ordinal", line.alias("line")))).alias("x"))
