@@ -1,9 +1,9 @@
 """Evaluation passages that stand, wholly or partly, in a training corpus.
 
-Stage 1 reads every document once and marks where an n-gram of any test passage occurs. Stage 2 counts in how many
-documents each of those n-grams occurs and takes, of every window of `run` words of a passage, the rarest as a seed:
-any run of that length then holds a seed, so nothing is lost, however common a passage is. Stage 3 aligns (Smith-
-Waterman over words) every document with the passages whose seeds it holds, and reports score and longest exact run.
+Stage 1 reads every document once and keeps those in which an n-gram of any test passage occurs. Stage 2 aligns (Smith-
+Waterman over words) every kept document with each passage of which it holds any n-gram, and reports score and longest
+exact run. Every n-gram is a seed, however common: were only rare ones taken, an exact copy of a passage would make the
+n-grams that an edited copy kept the common ones, and push the edited copy out.
 """
 
 from __future__ import annotations
@@ -18,8 +18,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodework.session import stored
-
 #: A word is a run of letters or digits, in lower case.
 WORD = re.compile(r"[^\W_]+")
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -67,26 +65,9 @@ class Grams:
 
 def _mark(frames: Iterator[pd.DataFrame], grams: Grams) -> Iterator[pd.DataFrame]:
     for f in frames:
-        keys, texts, found = [], [], []
-        for key, text in zip(f["doc_key"], f["doc_text"], strict=True):
-            if text:
-                _, ids = grams.hits(grams.code(text))
-                if ids:
-                    keys.append(key)
-                    texts.append(text)
-                    found.append(sorted(set(ids)))
-        if keys:
-            yield pd.DataFrame({"doc_key": keys, "doc_text": texts, "grams": found})
-
-
-def seeds(grams: Grams, frequency: dict[int, int], run: int) -> list[set[int]]:
-    """Per passage, of every window of `run` words (of the whole passage where it is shorter), the rarest gram that occurs."""
-    span = max(1, run - grams.n + 1)
-    out = []
-    for own in grams.grams_of:
-        rank = [(frequency.get(g, 0) == 0, frequency.get(g, 0), g) for g in own]
-        out.append({min(rank[i : i + span])[2] for i in range(max(1, len(own) - span + 1))})
-    return out
+        held = [bool(text) and bool(grams.hits(grams.code(text))[0]) for text in f["doc_text"]]
+        if any(held):
+            yield f[held]
 
 
 def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
@@ -107,11 +88,11 @@ def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
     return best, longest
 
 
-def _align(frames: Iterator[pd.DataFrame], grams: Grams, chosen: list[set[int]]) -> Iterator[pd.DataFrame]:
-    of_seed = defaultdict(list)
-    for item, own in enumerate(chosen):
-        for g in own:
-            of_seed[g].append(item)
+def _align(frames: Iterator[pd.DataFrame], grams: Grams) -> Iterator[pd.DataFrame]:
+    items_of = defaultdict(list)
+    for item, own in enumerate(grams.grams_of):
+        for g in set(own):
+            items_of[g].append(item)
     for f in frames:
         out = []
         for key, text in zip(f["doc_key"], f["doc_text"], strict=True):
@@ -119,13 +100,13 @@ def _align(frames: Iterator[pd.DataFrame], grams: Grams, chosen: list[set[int]])
             at, ids = grams.hits(code)
             places = defaultdict(list)
             for i, g in zip(at, ids, strict=True):
-                for item in of_seed.get(g, ()):
+                for item in items_of[g]:
                     places[item].append(i)
             for item, where in places.items():
                 passage = grams.coded[item]
                 score = longest = 0
                 for lo, hi in _stretches(where, len(passage), len(code)):
-                    s, r = align(code[lo:hi], passage)
+                    s, r = align(passage, code[lo:hi])  # the shorter first: align loops over its words
                     score, longest = max(score, s), max(longest, r)
                 for query_id in grams.items[grams.texts[item]]:
                     out.append((key, query_id, score, score / (MATCH * len(passage)), longest, len(passage)))
@@ -133,7 +114,7 @@ def _align(frames: Iterator[pd.DataFrame], grams: Grams, chosen: list[set[int]])
 
 
 def _stretches(where: list[int], size: int, length: int) -> Iterator[tuple[int, int]]:
-    """Parts of a text around its seeds, each with room for the passage and as many gaps, overlapping ones joined."""
+    """Parts of a text around its hits, each with room for the passage and as many gaps, overlapping ones joined."""
     lo, hi = where[0] - 2 * size, where[0] + 2 * size
     for i in where[1:]:
         if i - 2 * size > hi:
@@ -143,8 +124,8 @@ def _stretches(where: list[int], size: int, length: int) -> Iterator[tuple[int,
     yield max(0, lo), min(length, hi)
 
 
-def leaks(documents: DataFrame, queries: DataFrame, n: int = 6, run: int = 12, doc_key: str = "doc_id", doc_text: str = "text") -> DataFrame:
-    """One row per document and test item that share a seed: score, similarity, longest_run, passage_words.
+def leaks(documents: DataFrame, queries: DataFrame, n: int = 6, doc_key: str = "doc_id", doc_text: str = "text") -> DataFrame:
+    """One row per document and test item that share an n-gram: score, similarity, longest_run, passage_words.
 
     queries (query_id, passage) is the held-out set, a stated and fixed query set that the driver reads; the corpus is
     only ever streamed. similarity is the alignment's score over that of the whole passage: edited and paraphrased
@@ -155,8 +136,6 @@ def leaks(documents: DataFrame, queries: DataFrame, n: int = 6, run: int = 12, d
     grams = Grams([(r["query_id"], r["passage"]) for r in queries.select("query_id", "passage").distinct().collect()], n)
     docs = documents.select(F.col(doc_key).alias("doc_key"), F.col(doc_text).alias("doc_text"))
     kind = dict(docs.dtypes)["doc_key"]
-    marked = stored(docs.mapInPandas(partial(_mark, grams=grams), f"doc_key {kind}, doc_text string, grams array<int>"), "marked")
-    counts = marked.select(F.explode("grams").alias("g")).groupBy("g").count()  # at most one row per gram of the test set
-    chosen = seeds(grams, {r["g"]: r["count"] for r in counts.collect()}, run)
+    marked = docs.mapInPandas(partial(_mark, grams=grams), f"doc_key {kind}, doc_text string")
     schema = f"doc_id {kind}, query_id long, score int, similarity double, longest_run int, passage_words int"
-    return marked.repartition(spark.sparkContext.defaultParallelism * 2).mapInPandas(partial(_align, grams=grams, chosen=chosen), schema)
+    return marked.repartition(spark.sparkContext.defaultParallelism * 2).mapInPandas(partial(_align, grams=grams), schema)

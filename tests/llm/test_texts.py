@@ -118,6 +118,16 @@ def test_edited_copy_scores_high(spark):
     assert [(r["doc_id"], r["query_id"], r["longest_run"]) for r in out] == [(1, 7, 8)] and out[0]["similarity"] > 0.7
 
 
+def test_exact_copies_push_no_edited_copy_out(spark):
+    passage = [f"p{i}" for i in range(40)]
+    edited = ["zz" if i % 10 == 9 else w for i, w in enumerate(passage)]
+    other = ["yy" if i % 9 == 8 else w for i, w in enumerate(passage)]
+    rows = [(k, " ".join(w)) for k, w in enumerate([edited, other, passage, passage])]
+    q = spark.createDataFrame([(7, " ".join(passage))], "query_id long, passage string")
+    out = {r["doc_id"]: (r["longest_run"], r["similarity"]) for r in leakage.leaks(spark.createDataFrame(rows, "doc_id long, text string"), q).collect()}
+    assert {k: run for k, (run, _) in out.items()} == {0: 9, 1: 8, 2: 40, 3: 40} and all(s > 0.7 for _, s in out.values())
+
+
 def test_alignment_against_a_table():
     rng = np.random.default_rng(1)
     for _ in range(30):
