@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -84,13 +85,40 @@ class Engine:
         return metrics.ranking_metrics(ranked, relevant, queries, k)
 
 
+def _walk(edges: DataFrame, seeds: DataFrame, plan: DataFrame, depth: str) -> DataFrame:
+    """Nodes around the seeds of each query, as many hops away as the plan's column says."""
+    deep = stored(seeds.join(plan.select("query_id", F.col(depth).alias("depth")), "query_id"), "seeds")
+    depths = sorted(r["depth"] for r in deep.select("depth").distinct().collect()) or [1]  # three at most
+    return stored(reduce(DataFrame.unionByName, [graph.traverse(edges, deep.where(F.col("depth") == d), d) for d in depths]), "walked")
+
+
+def _reports(queries: DataFrame, edges: DataFrame, entities: DataFrame) -> DataFrame:
+    """(tenant_id, doc, text): the community reports of the tenants that the queries are of."""
+    asked = queries.select("tenant_id").distinct()
+    e, v = (df.join(asked, "tenant_id", "left_semi") for df in (edges, entities))
+    adjacent = stored(community.adjacency(e, v), "adjacent")
+    labels = stored(community.propagate(adjacent), "communities")
+    told = community.reports(labels, community.rank_communities(labels, e), adjacent, v)
+    return told.select("tenant_id", F.concat_ws(":", F.lit("community"), "tenant_id", "community").alias("doc"), F.concat_ws("\n", "title", "summary").alias("text"))
+
+
+def _of_tenant(vectors: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """Sparse vectors whose buckets are their tenant's own, so that vectors of two tenants never meet."""
+    t = rows.select(F.col(key).alias("doc"), "tenant_id").distinct()
+    return vectors.join(t, "doc").select("doc", F.concat_ws("|", "tenant_id", "bucket").alias("bucket"), "weight")
+
+
 def hybrid(queries: DataFrame, chunks: DataFrame, entities: DataFrame, edges: DataFrame, mentions: DataFrame, top_k: int = 5) -> Result:
-    """Understand, plan, search by words, hashed vectors and the graph, fuse by the plan's weights, rerank, pack.
+    """Understand, plan, search by words, hashed vectors and the graph, fuse by the plan's weights, expand, rerank, pack.
+
+    After the fusion come, as the plan says, chunks around the entities of the best chunks and community reports; all are
+    reranked together. A fallback sweep over the vectors would find nothing more: every plan that searches at all has
+    the vector path, which is deeper.
 
     Chunks are tokenised once per path and joined back to their text only after the cut to the best; queries the plan
     gives no path are filtered before the path's joins, not after.
     """
-    plan = kept(understand.plan(understand.analyse(queries), top_k))
+    plan = stored(understand.plan(understand.analyse(queries), top_k), "plan")
     many = max(4 * top_k, 20)
     docs = chunks.select("tenant_id", F.col("chunk_id").alias("doc"), "text")
     words = plan.where("use_lexical")
@@ -99,17 +127,32 @@ def hybrid(queries: DataFrame, chunks: DataFrame, entities: DataFrame, edges: Da
     vector = retrieval.sparse_search(q, retrieval.hash_embed(docs), many).select("query_id", "doc", F.lit("vector").alias("path"), "rank")
     asked = plan.where("use_graph").select("query_id", "tenant_id", F.explode("mentions").alias("mention"))
     known = entities if "aliases" in entities.columns else entities.withColumn("aliases", F.lit(None).cast("array<string>"))
-    linked = kept(resolve.link_mentions(asked, known))
+    linked = stored(resolve.link_mentions(asked, known), "linked")
     seeds = linked.select("query_id", "tenant_id", "entity_id").distinct()
-    nodes = graph.traverse(edges, seeds, 2)
-    by_graph = graph.graph_to_text(nodes, mentions).select("query_id", F.col("chunk_id").alias("doc"), F.lit("graph").alias("path"), "rank")
+    walked = _walk(edges, seeds, plan, "graph_depth")
+    by_graph = graph.graph_to_text(walked, mentions).select("query_id", F.col("chunk_id").alias("doc"), F.lit("graph").alias("path"), "rank")
     lists = lexical.unionByName(vector).unionByName(by_graph).join(plan.select("query_id", "w_vector", "w_lexical", "w_graph"), "query_id")
     weight = F.when(F.col("path") == "vector", F.col("w_vector")).when(F.col("path") == "lexical", F.col("w_lexical")).otherwise(F.col("w_graph"))
-    fused = retrieval.fuse(lists.withColumn("weight", weight), many)
-    texts = docs.select("doc", "text")
-    best = retrieval.rerank(fused, queries, texts, 2 * top_k)
-    hits = best.join(fused.select("query_id", "doc", "path", F.col("score").alias("rrf_score")), ["query_id", "doc"]).join(texts, "doc")
-    subgraph = graph.recover_edges(edges, nodes)
+    fused = stored(retrieval.fuse(lists.withColumn("weight", weight), many), "fused")
+    first = fused.join(plan.where("use_expansion").select("query_id", "tenant_id"), "query_id").withColumnRenamed("doc", "chunk_id")
+    expanded = _walk(edges, graph.text_to_graph(first, mentions).select("query_id", "tenant_id", "entity_id"), plan, "expansion_hops")
+    around = graph.graph_to_text(expanded, mentions).select("query_id", F.col("chunk_id").alias("doc"), F.lit("expansion").alias("path"), "rank")
+    after = fused.select("query_id", "doc", "path", "rank").withColumn("list_no", F.lit(0)).unionByName(around.withColumn("list_no", F.lit(1)))
+    texts, wide = docs.select("doc", "text"), plan.where("use_community")
+    if not wide.isEmpty():
+        told = stored(_reports(wide, edges, entities), "reports")
+        q = _of_tenant(retrieval.hash_embed(wide, "query_id", "query_text"), wide, "query_id")
+        near = retrieval.sparse_search(q, _of_tenant(retrieval.hash_embed(told), told, "doc"), many).join(wide.select("query_id", "community_k"), "query_id").where("rank <= community_k")
+        after = after.unionByName(near.select("query_id", "doc", F.lit("community").alias("path"), "rank", F.lit(2).alias("list_no")))
+        texts = texts.unionByName(told.select("doc", "text"))
+    after = stored(retrieval.first_seen(after), "candidates")
+    best = retrieval.rerank(after, queries, texts, many + graph.MOST_CHUNKS).where(F.col("rank") <= 2 * top_k)
+    hits = best.join(after.select("query_id", "doc", "path"), ["query_id", "doc"]).join(fused.select("query_id", "doc", F.col("score").alias("rrf_score")), ["query_id", "doc"], "left").join(texts, "doc")
+    both = walked.unionByName(expanded).groupBy("query_id", "tenant_id", "entity_id").agg(F.min("hop").alias("hop"))
+    both = both.join(seeds.withColumn("is_seed", F.lit(True)), ["query_id", "tenant_id", "entity_id"], "left").withColumn("is_seed", F.coalesce("is_seed", F.lit(False)))
+    found = graph.recover_edges(edges, walked).unionByName(graph.recover_edges(edges, expanded)).distinct()
+    nodes, subgraph = graph.prune(both, found, graph.MOST_NODES)
+    nodes = nodes.select("query_id", "tenant_id", "entity_id", "hop")
     scored = subgraph.join(edges.select("tenant_id", "source_id", F.upper("edge_type").alias("edge_type"), "target_id", "confidence").dropDuplicates(["tenant_id", "source_id", "edge_type", "target_id"]), ["tenant_id", "source_id", "edge_type", "target_id"])
     told = graph.passages(scored, known, seeds)
     return Result(plan, hits, nodes, subgraph, context.pack(hits, most=top_k, passages=told))

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodework.operators import guards
-from lodework.plans.engine import Engine
+from lodework.plans.engine import Engine, hybrid
 from lodework.sources import files
 from lodework.sources.store import Store
 from lodework.streaming import streams
@@ -39,6 +39,26 @@ def test_ingest_search_and_repeat(spark, tmp_path):
         e.search("movies_bot", spark.createDataFrame([(1, "x; DROP DATABASE y")], "query_id int, query_text string"))
 
 
+def test_plan_is_carried_out(spark):
+    edge = lambda a, b: ("t", a, "KNOWS", b, 0.9)
+    edges = spark.createDataFrame([edge("a", "b"), edge("b", "c"), edge("c", "d"), edge("d", "e")], "tenant_id string, source_id string, edge_type string, target_id string, confidence double")
+    names = {"a": "Alba Corvane", "b": "Bexley Works", "c": "Cidran Hall", "d": "Dorvane Mill", "e": "Elbrus Yard"}
+    entities = spark.createDataFrame([("t", k, "Person", n, None) for k, n in names.items()], "tenant_id string, entity_id string, label string, entity_name string, aliases array<string>")
+    chunks = spark.createDataFrame([("t", "c1", "Alba Corvane wrote about rivers"), ("t", "c2", "Nothing like it stands here"), ("t", "c3", "Mills are old")], "tenant_id string, chunk_id string, text string")
+    mentions = spark.createDataFrame([("t", "a", "c1"), ("t", "b", "c2"), ("t", "d", "c3")], "tenant_id string, entity_id string, chunk_id string")
+    asked = ["Who is connected to someone related through Alba Corvane?", "Give an overview of the main themes across the whole collection of relations", "Who is the author Alba Corvane?"]
+    out = hybrid(spark.createDataFrame([(i, "t", q) for i, q in enumerate(asked)], "query_id int, tenant_id string, query_text string"), chunks, entities, edges, mentions)
+    plan = {r["query_id"]: r for r in out.plan.collect()}
+    assert plan[0]["graph_depth"] == 3 and plan[1]["use_community"] and plan[2]["use_expansion"]
+    hops = {r["entity_id"]: r["hop"] for r in out.nodes.where("query_id = 0").collect()}
+    assert hops["d"] <= 3 and {"a", "b", "c", "d"} <= set(hops)
+    assert "community" in {r["path"] for r in out.hits.where("query_id = 1").collect()}
+    alone = hybrid(spark.createDataFrame([(2, "t", "Who is alba corvane, \"wrote about rivers\"?"), (3, "t", "Who directed Alba Corvene Rivers?")], "query_id int, tenant_id string, query_text string"), chunks, entities.where("false"), edges, mentions)
+    local = {r["query_id"] for r in alone.plan.where("use_expansion").collect()}
+    paths = {(r["query_id"], r["doc"]): r["path"] for r in alone.hits.collect()}
+    assert local and all(paths.get((q, "c2")) == "expansion" for q in local)
+
+
 def test_store_refuses_foreign_and_double_rows(spark, tmp_path):
     s = Store(spark, str(tmp_path))
     t = guards.Tenant("a_bot")
