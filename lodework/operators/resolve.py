@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodework.functions import text as tx
 from lodework.functions.similarity import jaro_winkler, jaro_winkler_of, jaro_winkler_unaccented
+from lodework.operators import retrieval
 
 # Fixed values of the match model.
 SAME, RESCUE_FROM, RESCUE_COSINE, LINK_FROM, LINK_COSINE = 0.85, 0.60, 0.80, 0.55, 0.70
@@ -89,22 +90,45 @@ def greedy_merge(entities: DataFrame) -> DataFrame:
     return rows.mapInPandas(_merge, "vertex_id long, canonical_id long, score double, method string")
 
 
+def _may_match(a: str, b: str, least: float) -> Column:
+    """Whether a Jaro-Winkler similarity of `least` is possible at all, by lengths, shared letters and common prefix."""
+    n, m = F.length(a), F.length(b)
+    k = F.least(n - F.length(F.expr(f"translate({a}, {b}, '')")), m - F.length(F.expr(f"translate({b}, {a}, '')")))
+    jaro = F.when(k > 0, (k / n + k / m + 1) / 3).otherwise(0.0)
+    prefix = sum((F.when(F.substring(a, 1, i) == F.substring(b, 1, i), 1).otherwise(0) for i in range(1, 5)), F.lit(0))
+    return jaro + prefix * 0.1 * (1 - jaro) >= least - 1e-4
+
+
+def _cosines(asked: DataFrame, known: DataFrame) -> DataFrame:
+    """(tenant_id, norm, enorm, cosine): names of a tenant that share a bucket of the hashed embedding."""
+    sides = []
+    for rows, name, weight in ((asked, "norm", "qw"), (known, "enorm", "w")):
+        keyed = rows.select(F.struct("tenant_id", F.col(name).alias("norm")).alias("doc"), F.translate(name, "_", " ").alias("text"))
+        sides.append(retrieval.hash_embed(keyed).select("doc.tenant_id", F.col("doc.norm").alias(name), "bucket", F.col("weight").alias(weight)))
+    return sides[0].join(sides[1], ["tenant_id", "bucket"]).groupBy("tenant_id", "norm", "enorm").agg(F.round(F.sum(F.col("qw") * F.col("w")), 4).alias("cosine"))
+
+
 def link_mentions(mentions: DataFrame, entities: DataFrame) -> DataFrame:
-    """Best entity per (query_id, mention): exact normalised name or alias, else Jaro-Winkler of at least 0.85.
+    """Best entity per (query_id, mention): exact name or alias, Jaro-Winkler of at least 0.85, or 0.55 with a cosine of 0.70.
 
-    mentions has (query_id, tenant_id, mention). Candidates share the first two letters of the normalised name, which a
-    Jaro-Winkler match at the threshold does as well. Returns query_id, tenant_id, mention, entity_id, label, score, method.
+    mentions has (query_id, tenant_id, mention). Every distinct mention meets every distinct name of its tenant; only
+    pairs that can't reach 0.85 are left out before Jaro-Winkler is computed. The cosine is that of the hashed embedding,
+    whose pairs share a bucket; its matches score 0.7 of the cosine and 0.3 of the string similarity. Returns query_id,
+    tenant_id, mention, entity_id, label, score, method.
     """
     m = mentions.withColumn("norm", tx.normalize_name(F.col("mention"))).where("norm <> ''")
     names = F.array_distinct(F.array_compact(F.concat(F.array("entity_name"), F.coalesce("aliases", F.array().cast("array<string>")))))
     e = entities.where("entity_id is not null").select("tenant_id", "entity_id", "label", F.explode(names).alias("n")).select("tenant_id", "entity_id", "label", tx.normalize_name(F.col("n")).alias("enorm")).where("enorm <> ''")
-    e = e.groupBy("tenant_id", "entity_id", "enorm").agg(F.min("label").alias("label")).withColumn("head", F.substring("enorm", 1, 2))
-    rows = m.withColumn("head", F.substring("norm", 1, 2)).join(e, ["tenant_id", "head"])
-    close = F.abs(F.length("norm") - F.length("enorm")) <= F.greatest(F.length("norm"), F.length("enorm")) * 0.45
-    rows = rows.where(close).withColumn("score", F.when(F.col("norm") == F.col("enorm"), 1.0).otherwise(F.round(jaro_winkler("norm", "enorm"), 4))).where(F.col("score") >= SAME)
-    w = Window.partitionBy("query_id", "mention").orderBy(F.desc("score"), "entity_id")
+    e = e.groupBy("tenant_id", "entity_id", "enorm").agg(F.min("label").alias("label"))
+    asked, known = m.select("tenant_id", "norm").distinct(), e.select("tenant_id", "enorm").distinct()
+    alike = asked.join(known, "tenant_id").where(_may_match("norm", "enorm", SAME)).withColumn("score", F.when(F.col("norm") == F.col("enorm"), 1.0).otherwise(F.round(jaro_winkler("norm", "enorm"), 4))).where(F.col("score") >= SAME)
+    alike = alike.withColumn("method", F.when(F.col("norm") == F.col("enorm"), "exact").otherwise("string_match"))
+    near = _cosines(asked, known).where(F.col("cosine") >= LINK_COSINE).withColumn("x", jaro_winkler("norm", "enorm")).where((F.col("x") >= LINK_FROM) & (F.round("x", 4) < SAME))
+    near = near.select("tenant_id", "norm", "enorm", F.round(0.7 * F.col("cosine") + 0.3 * F.col("x"), 4).alias("score"), F.lit("vector_knn").alias("method"))
+    rows = m.join(alike.unionByName(near), ["tenant_id", "norm"]).join(e, ["tenant_id", "enorm"])
+    w = Window.partitionBy("query_id", "mention").orderBy(F.desc("score"), "entity_id", "method")
     rows = rows.withColumn("r", F.row_number().over(w)).where("r = 1")
-    return rows.select("query_id", "tenant_id", "mention", "entity_id", "label", "score", F.when(F.col("score") == 1.0, "exact").otherwise("string_match").alias("method"))
+    return rows.select("query_id", "tenant_id", "mention", "entity_id", "label", "score", "method")
 
 
 def remap(mentions: DataFrame, canonical: DataFrame) -> DataFrame:

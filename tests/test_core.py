@@ -190,6 +190,14 @@ def test_link_mentions(spark):
     assert out == {"Christopher Nolan": ("p1", "exact"), "Chris  Nolan": ("p1", "exact"), "Christofer Nolan": ("p1", "string_match")}
 
 
+def test_mentions_meet_all_names(spark):
+    names = {"p1": "Christopher Nolan", "p2": "Catherine Smith", "p3": "Dune Part Two", "p4": "Warner Brothers Pictures"}
+    e = spark.createDataFrame([("t", k, "X", n, None) for k, n in names.items()], "tenant_id string, entity_id string, label string, entity_name string, aliases array<string>")
+    m = spark.createDataFrame([(1, "t", "Rchistopher Nolan"), (1, "t", "Katherine Smith"), (2, "t", "Dune"), (2, "t", "Pictures Warner Brothers"), (3, "u", "Dune")], "query_id int, tenant_id string, mention string")
+    out = {r["mention"]: (r["entity_id"], r["method"]) for r in resolve.link_mentions(m, e).collect()}
+    assert out == {"Rchistopher Nolan": ("p1", "string_match"), "Katherine Smith": ("p2", "string_match"), "Dune": ("p3", "string_match"), "Pictures Warner Brothers": ("p4", "vector_knn")}
+
+
 def test_communities(spark):
     e = edges_of(spark, [("t", a, "X", b, 1.0) for a, b in (("a", "b"), ("b", "c"), ("a", "c"), ("x", "y"), ("y", "z"), ("x", "z"), ("c", "c"), ("c", "gone"))])
     v = spark.createDataFrame([("t", k, k.upper(), "Film") for k in "abcxyz"], "tenant_id string, entity_id string, entity_name string, label string")
