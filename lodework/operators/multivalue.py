@@ -19,11 +19,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Fixed values of the data model: list columns and the words that stand for no value.
+from lodework.session import stored
+
+# Fixed values of the data model: list columns with the sort of their values, and the words that stand for no value.
 LIST_COLUMNS = {"genres": "word", "keywords": "word", "production_countries": "word", "cast_names": "person", "production_companies": "firm"}
 NULL_WORDS = {"", "n/a", "none", "unknown", "-", "--"}
 #: Dictionary entries that go into the automaton: those with at least 1 / ENTRIES of all occurrences, so at most ENTRIES.
 ENTRIES = 50_000
+#: Parts that may be merged without being known as a whole: two names with a joint, a firm with kin and legal form.
+_UNKNOWN_PARTS = 3
 
 _LEGAL = r"(?:Ltd|Inc|LLC|L\.L\.C|Co|Corp|GmbH|AG|SA|S\.A|plc|Limited|Incorporated|Corporation)\.?"
 _KIN = r"(?:Sons|Daughters|Brothers|Bros\.?|Co\.?|Company|Partners|Associates|Family)"
@@ -39,10 +43,10 @@ _PERSON = re.compile(r"[^\W\d_][\w.'’-]*(?: [^\W\d_][\w.'’-]*){1,3}")
 _GIVEN = re.compile(r"[^\W\d_][\w.'’-]*, [^\W\d_][\w.'’-]*(?: [^\W\d_][\w.'’-]*)?")
 
 
-def family_of(column: Column) -> Column:
+def family_of(column: Column, columns: dict[str, str] = LIST_COLUMNS) -> Column:  # noqa: B006
     """The list column a heading stands for, in any case and with blanks or dashes; null for other columns."""
     name = F.regexp_replace(F.lower(F.trim(column)), r"[\s-]+", "_")
-    return F.when(name.isin(list(LIST_COLUMNS)), name)
+    return F.when(name.isin(list(columns)), name)
 
 
 def structured(text: str) -> list[str] | None:
@@ -125,9 +129,13 @@ def bare(text: str) -> str:
 
 
 class Dictionary:
-    """Known whole values per column family, with the last words that firms are known by."""
+    """Known whole values per column family, with the last words that firms are known by.
+
+    columns tells the sort of each family. ends gives the last words where they were counted over more entries than these.
+    """
 
-    def __init__(self, entries: list[tuple[str, str]]) -> None:
+    def __init__(self, entries: list[tuple[str, str]], columns: dict[str, str] = LIST_COLUMNS, ends: frozenset[str] | None = None) -> None:  # noqa: B006
+        self.columns = columns
         self.known: dict[str, set[str]] = defaultdict(set)
         for family, value in entries:
             self.known[family].add(value)
@@ -138,16 +146,16 @@ class Dictionary:
                 a.add_word(v, len(v))
             a.make_automaton()
             self.automata[family] = a
-        ends: dict[str, int] = defaultdict(int)
-        firms = [v for f in self.known if LIST_COLUMNS.get(f) == "firm" for v in self.known[f]]
-        for v in firms:
-            ends[v.rsplit(" ", 1)[-1]] += 1
-        self.firm_ends = {w for w, n in ends.items() if n > max(2, len(firms) // 200)}
-        #: Most delimiters inside a known value.
-        self.inner = max([2, *(len(_DELIMITER.findall(v)) for values in self.known.values() for v in values)])
+        if ends is None:
+            counts: dict[str, int] = defaultdict(int)
+            firms = [v for f in self.known if columns.get(f) == "firm" for v in self.known[f]]
+            for v in firms:
+                counts[v.rsplit(" ", 1)[-1]] += 1
+            ends = frozenset(w for w, n in counts.items() if n > max(2, len(firms) // 200))
+        self.firm_ends = ends
 
     def cover(self, family: str, text: str, extra: frozenset[str] = frozenset()) -> list[str]:
-        """Values of an unstructured cell, null words and empty entries left out."""
+        """Values of an unstructured cell, null words and empty entries left out. extra: further known values of this cell."""
         parts, marks = pieces(text)
         if len(parts) == 1:
             return self._values([parts[0][0]])
@@ -160,15 +168,29 @@ class Dictionary:
                 i, j = starts.get(end + 1 - size), stops.get(end + 1)
                 if i is not None and j is not None:
                     known.add((i, j))
+        for value in extra:
+            at_char = low.find(value)
+            while at_char >= 0:
+                i, j = starts.get(at_char), stops.get(at_char + len(value))
+                if i is not None and j is not None:
+                    known.add((i, j))
+                at_char = low.find(value, at_char + 1)
+        from_of: dict[int, list[int]] = defaultdict(list)
+        for i, j in known:
+            if j - i >= _UNKNOWN_PARTS:
+                from_of[j].append(i)
+        quotes = [0]
+        for _, q in parts:
+            quotes.append(quotes[-1] + q)
         strong = any(_STRONG.search(m) for m in marks)
-        n, reach = len(parts), self.inner
+        n = len(parts)
         best, back = [0.0] + [float("inf")] * n, [0] * (n + 1)
         for j in range(1, n + 1):
-            for i in range(max(0, j - 1 - reach), j):
-                if j - i > 1 and any(q for _, q in parts[i:j]):
+            for i in [*sorted(from_of[j - 1]), *range(max(0, j - _UNKNOWN_PARTS), j)]:
+                if j - i > 1 and quotes[j] > quotes[i]:
                     continue
                 span = flat[at[i][0] : at[j - 1][1]]
-                c = best[i] + self._cost(family, span, j - i, parts[i][1], (i, j - 1) in known or span.lower() in extra, strong, marks[i : j - 1])
+                c = best[i] + self._cost(family, span, j - i, parts[i][1], (i, j - 1) in known, strong, marks[i : j - 1])
                 if c < best[j] - 1e-9:
                     best[j], back[j] = c, i
         out, j = [], n
@@ -200,7 +222,7 @@ class Dictionary:
             return 0.0
         if known:
             return 0.1
-        sort = LIST_COLUMNS.get(family, "word")
+        sort = self.columns.get(family, "word")
         if sort == "firm":
             if any(s.fullmatch(span) for s in _FIRM_SHAPES):
                 first = re.split(r" & | and ", span)[0]
@@ -247,12 +269,12 @@ def _learn(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 @lru_cache(maxsize=2)
-def _dictionary(entries: tuple[tuple[str, str], ...]) -> Dictionary:
-    return Dictionary(list(entries))
+def _dictionary(entries: tuple[tuple[str, str], ...], columns: tuple[tuple[str, str], ...], ends: frozenset[str]) -> Dictionary:
+    return Dictionary(list(entries), dict(columns), ends)
 
 
 def _spans(frames: Iterator[pd.DataFrame], inner: int) -> Iterator[pd.DataFrame]:
-    """Runs of parts with a delimiter inside, of unstructured cells: what a rare known value could be."""
+    """Every run of at most inner + 1 parts of the unstructured cells: what a known value could be."""
     for f in frames:
         out = []
         for key, family, text in zip(f["cell_key"], f["family"], f["value"], strict=True):
@@ -260,13 +282,13 @@ def _spans(frames: Iterator[pd.DataFrame], inner: int) -> Iterator[pd.DataFrame]
                 parts, marks = pieces(text.strip())
                 flat, at = Dictionary._flat(parts, marks)
                 for i in range(len(parts)):
-                    for j in range(i + 1, min(len(parts), i + inner + 1)):
+                    for j in range(i, min(len(parts), i + inner + 1)):
                         out.append((key, family, flat[at[i][0] : at[j][1]].lower()))
         yield pd.DataFrame(out, columns=["cell_key", "family", "value"])
 
 
-def _split(frames: Iterator[pd.DataFrame], entries: tuple[tuple[str, str], ...]) -> Iterator[pd.DataFrame]:
-    words = _dictionary(entries)
+def _split(frames: Iterator[pd.DataFrame], entries: tuple[tuple[str, str], ...], columns: tuple[tuple[str, str], ...], ends: frozenset[str]) -> Iterator[pd.DataFrame]:
+    words = _dictionary(entries, columns, ends)
     for f in frames:
         rows = []
         for key, column, family, text, extra in zip(f["record_id"], f["column_name"], f["family"], f["value"], f["extra"], strict=True):
@@ -275,40 +297,42 @@ def _split(frames: Iterator[pd.DataFrame], entries: tuple[tuple[str, str], ...])
         yield pd.DataFrame(rows, columns=["record_id", "column_name", "pos", "item", "n_values"])
 
 
-def list_cells(records: DataFrame) -> DataFrame:
+def list_cells(records: DataFrame, columns: dict[str, str] = LIST_COLUMNS) -> DataFrame:  # noqa: B006
     """(record_id, cell_key, column_name, family, value) of the filled cells of list columns."""
     rows = records.select("record_id", F.posexplode("cells").alias("cell_no", "cell"))
     rows = rows.select("record_id", "cell_no", F.col("cell.column_name").alias("column_name"), F.col("cell.cell_value").alias("value"))
-    rows = rows.withColumn("family", family_of(F.col("column_name"))).where(F.col("family").isNotNull() & (F.trim("value") != ""))
+    rows = rows.withColumn("family", family_of(F.col("column_name"), columns)).where(F.col("family").isNotNull() & (F.trim("value") != ""))
     return rows.withColumn("cell_key", F.concat_ws(":", "record_id", "cell_no"))
 
 
-def split_values(records: DataFrame, entries: int = ENTRIES) -> DataFrame:
+def split_values(records: DataFrame, entries: int = ENTRIES, columns: dict[str, str] = LIST_COLUMNS) -> DataFrame:  # noqa: B006
     """One row per value of every list cell: record_id, column_name, pos (from 0), item, n_values.
 
-    Null and blank cells and cells of null words alone give no row; a repeated value, a repeated column and a repeated
-    record give rows of their own (cells are told apart by record_id and place). The dictionary is counted over all
-    cells. Entries with at least 1 / `entries` of all occurrences (so at most `entries`) go to every task in the
-    automaton; the rest, of which only those with a delimiter inside can matter, is matched exactly by a join with the
-    runs of parts that occur in cells. Data of no list column, or no row at all, gives an empty table.
+    columns names the list columns and the sort of their values: word, person or firm. Null and blank cells and cells of
+    null words alone give no row; a repeated value, a repeated column and a repeated record give rows of their own (cells
+    are told apart by record_id and place). The dictionary is counted over all cells. Entries with at least 1 / `entries`
+    of all occurrences (so at most `entries`) go to every task in the automaton; all others are matched by a join with the
+    runs of parts that occur in cells, so the rows don't depend on `entries`. The last words of firms, each that of more
+    than a 200th of the firms, are counted over all entries. Data of no list column, or no row at all, gives an empty table.
     """
-    spark = records.sparkSession
-    cells = list_cells(records)
-    marks = r"[\[\]{}\";|•·\n\t\r,/&'\\]|(?i)\sand\s"
+    cells = list_cells(records, columns)
     learnt = cells.where(F.col("value").rlike(r"[\[{\"']")).select("family", "value").mapInPandas(_learn, "family string, value string")
-    counted = learnt.groupBy("family", "value").count().persist()
+    counted = stored(learnt.groupBy("family", "value").count(), "dictionary")
     total = counted.agg(F.sum("count")).first()[0] or 0
     floor = max(1, -(-total // entries))
     often = tuple(sorted((r["family"], r["value"]) for r in counted.where(F.col("count") >= floor).collect()))
-    rare = counted.where((F.col("count") < floor) & F.col("value").rlike(marks)).select("family", "value")
+    firms = counted.where(F.col("family").isin([k for k, sort in columns.items() if sort == "firm"])).select("family", "value")
+    least = max(2, firms.count() // 200)
+    last = F.element_at(F.split("value", " "), -1)
+    ends = frozenset(r["w"] for r in firms.groupBy(last.alias("w")).count().where(F.col("count") > least).collect())
     if floor > 1:
-        spans = cells.where(F.col("value").rlike(marks)).select("cell_key", "family", "value")
-        inner = max(3, counted.agg(F.max(F.regexp_count("value", F.lit(r"[;|,/&]|\sand\s")))).first()[0] or 0)
-        runs = spans.mapInPandas(partial(_spans, inner=inner), "cell_key string, family string, value string")
+        rare = counted.where(F.col("count") < floor).select("family", "value")
+        inner = rare.agg(F.max(F.regexp_count("value", F.lit(r"(?i)[;|•·\n\t\r,/]|\s(?:and|&)\s")))).first()[0] or 0
+        runs = cells.select("cell_key", "family", "value").mapInPandas(partial(_spans, inner=inner), "cell_key string, family string, value string").distinct()
         extra = runs.join(rare, ["family", "value"]).groupBy("cell_key").agg(F.collect_set("value").alias("extra"))
         cells = cells.join(extra, "cell_key", "left")
     else:
         cells = cells.withColumn("extra", F.lit(None).cast("array<string>"))
     kind = dict(cells.dtypes)["record_id"]
     given = cells.select("record_id", "column_name", "family", "value", "extra")
-    return given.mapInPandas(partial(_split, entries=often), f"record_id {kind}, column_name string, pos int, item string, n_values int")
+    return given.mapInPandas(partial(_split, entries=often, columns=tuple(columns.items()), ends=ends), f"record_id {kind}, column_name string, pos int, item string, n_values int")

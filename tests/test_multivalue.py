@@ -73,3 +73,14 @@ def test_rare_values_are_matched_like_frequent_ones(spark):
     df = spark.createDataFrame([(i, [("genres", c)]) for i, c in enumerate(cells)], schema)
     key = lambda d: sorted((r["record_id"], r["pos"], r["item"]) for r in d.collect())
     assert key(mv.split_values(df)) == key(mv.split_values(df, entries=1))
+    firms = ['["Alpha, Beta, Gamma, Delta & Sons", "Acme Films"]', '["Acme Films", "Foo Pictures", "Acme Films"]', '["Alder Films", "Birch Films", "Cedar Films"]']
+    firms += ["Acme Films; Alpha, Beta, Gamma, Delta & Sons; Foo Pictures", "Acme Films, Alpha, Beta, Gamma, Delta & Sons", "Oak and Ash Films", "Acme Films / Dune Films"]
+    df = spark.createDataFrame([(i, [("production_companies", c)]) for i, c in enumerate(firms)], schema)
+    assert key(mv.split_values(df)) == key(mv.split_values(df, entries=1)) == key(mv.split_values(df, entries=3))
+    assert [x[2] for x in key(mv.split_values(df, entries=3)) if x[0] == 3] == ["Acme Films", "Alpha, Beta, Gamma, Delta & Sons", "Foo Pictures"]
+
+
+def test_columns_are_a_parameter(spark):
+    schema = "record_id long, cells array<struct<column_name:string,cell_value:string>>"
+    df = spark.createDataFrame([(1, [("Speakers", "Rossi, Anna; Berg, Ole"), ("genres", "War; Family")])], schema)
+    assert sorted(r["item"] for r in mv.split_values(df, columns={"speakers": "person"}).collect()) == ["Berg, Ole", "Rossi, Anna"]
