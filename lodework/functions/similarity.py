@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 import unicodedata
 from functools import lru_cache
 
@@ -53,3 +55,28 @@ def jaro_winkler_unaccented(a: pd.Series, b: pd.Series) -> pd.Series:
 def jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
     """Null where either is null."""
     return pd.Series([None if x is None or y is None else jaro_winkler_of(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+
+
+@lru_cache(maxsize=200_000)
+def _hashed(name: str, dim: int) -> dict[int, float]:
+    """The signed-hash embedding of a normalised name, of unit length; what retrieval.hash_embed gives for its words."""
+    v: dict[int, float] = {}
+    for t in re.findall("[a-z0-9]+", name.lower().replace("_", " ")):
+        h = hashlib.sha1(t.encode()).digest()  # noqa: S324
+        sign = 1.0 if h[8] % 2 == 1 else -1.0
+        for at, w in ((0, sign), (4, sign / 2)):
+            b = int.from_bytes(h[at : at + 4], "big") % dim
+            v[b] = v.get(b, 0.0) + w
+    size = sum(w * w for w in v.values()) ** 0.5
+    return {b: w / size for b, w in v.items()} if size else {}
+
+
+def hashed_cosine_of(a: str, b: str, dim: int = 384) -> float:
+    x, y = _hashed(a, dim), _hashed(b, dim)
+    return sum(w * y.get(k, 0.0) for k, w in x.items())
+
+
+@F.pandas_udf(DoubleType())
+def hashed_cosine(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Cosine of the hashed embeddings of two normalised names; 0 where one has no word, null where either is null."""
+    return pd.Series([None if x is None or y is None else hashed_cosine_of(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")

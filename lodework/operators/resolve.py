@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodework.functions import text as tx
-from lodework.functions.similarity import jaro_winkler, jaro_winkler_of, jaro_winkler_unaccented
+from lodework.functions.similarity import hashed_cosine, jaro_winkler, jaro_winkler_unaccented
 from lodework.operators import retrieval
+from lodework.operators.skew import join_stats
+from lodework.session import stored
 
 # Fixed values of the match model.
-SAME, RESCUE_FROM, RESCUE_COSINE, LINK_FROM, LINK_COSINE = 0.85, 0.60, 0.80, 0.55, 0.70
+SAME, RESCUE_FROM, RESCUE_COSINE, RESCUE_COSINE_PART, LINK_FROM, LINK_COSINE, LINK_COSINE_PART = 0.85, 0.60, 0.80, 0.6, 0.55, 0.70, 0.7
 
 
 def blocking_keys(entities: DataFrame) -> DataFrame:
@@ -46,50 +45,6 @@ def matches(pairs: DataFrame, least: float = SAME) -> DataFrame:
     return pairs.withColumn("score", F.round(jaro_winkler_unaccented("norm_a", "norm_b"), 4)).where(F.col("score") >= least)
 
 
-def _merge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows come sorted by scope, then order; a scope's canonical names are kept only while it lasts."""
-    scope, canon, first = None, {}, {}
-    for f in frames:
-        out = []
-        for s, norm, vid in zip(f["scope"], f["norm"], f["vertex_id"], strict=True):
-            if s != scope:
-                scope, canon, first = s, {}, {}
-            if norm in canon:
-                out.append((vid, canon[norm], 1.0, "exact"))
-                continue
-            best, score = None, SAME
-            seen: set[str] = set()
-            for key in {norm[:3], *[t for t in norm.split("_") if len(t) >= 4]}:
-                for other in first.get(key, ()):
-                    if other not in seen:
-                        seen.add(other)
-                        x = jaro_winkler_of(norm, other)
-                        if x > score or (x == score and best is None):
-                            best, score = other, x
-            if best is None:
-                canon[norm] = vid
-                for key in {norm[:3], *[t for t in norm.split("_") if len(t) >= 4]}:
-                    first.setdefault(key, []).append(norm)
-                out.append((vid, vid, 1.0, "new"))
-            else:
-                canon[norm] = canon[best]
-                out.append((vid, canon[best], round(score, 4), "string_match"))
-        yield pd.DataFrame(out, columns=["vertex_id", "canonical_id", "score", "method"])
-
-
-def greedy_merge(entities: DataFrame) -> DataFrame:
-    """(vertex_id, canonical_id, score, method): the order-dependent merge, per tenant and label, by vertex_id.
-
-    Exact semantics need the order, so a tenant's label and first letter is one sorted stream, read row by row within
-    its partition; memory holds its distinct names only. The letter is part of the scope because a match of 0.85 has
-    to begin alike. For a set-based merge see `candidates` and `matches`.
-    """
-    norm = tx.normalize_name(F.col("entity_name"))
-    rows = entities.where("entity_name is not null").select(F.concat_ws("|", "tenant_id", "label", F.substring(norm, 1, 1)).alias("scope"), norm.alias("norm"), "vertex_id").where("norm <> ''")
-    rows = rows.repartition("scope").sortWithinPartitions("scope", "vertex_id")
-    return rows.mapInPandas(_merge, "vertex_id long, canonical_id long, score double, method string")
-
-
 def _may_match(a: str, b: str, least: float) -> Column:
     """Whether a Jaro-Winkler similarity of `least` is possible at all, by lengths, shared letters and common prefix."""
     n, m = F.length(a), F.length(b)
@@ -99,13 +54,66 @@ def _may_match(a: str, b: str, least: float) -> Column:
     return jaro + prefix * 0.1 * (1 - jaro) >= least - 1e-4
 
 
+def links(names: DataFrame) -> DataFrame:
+    """(a, b, score, method) of all pairs of candidates that match: by string, or by string and hashed embedding together.
+
+    Pairs that can't reach the lower bound of either way are left out on the JVM, before any similarity is computed.
+    """
+    pairs = candidates(names).where(_may_match("norm_a", "norm_b", RESCUE_FROM))
+    pairs = pairs.withColumn("x", jaro_winkler("norm_a", "norm_b")).where(F.col("x") >= RESCUE_FROM)
+    alike = F.col("x") >= SAME
+    pairs = pairs.withColumn("c", F.when(~alike, hashed_cosine("norm_a", "norm_b"))).where(alike | (F.col("c") >= RESCUE_COSINE))
+    score = F.when(alike, F.col("x")).otherwise(F.round(RESCUE_COSINE_PART * F.col("c") + (1 - RESCUE_COSINE_PART) * F.col("x"), 4))
+    return pairs.select("a", "b", score.alias("score"), F.when(alike, "string_match").otherwise("vector_assisted").alias("method"))
+
+
+def canonical_names(names: DataFrame, matched: DataFrame) -> DataFrame:
+    """(id) of the names that become canonical when all are gone through by id: those that match no earlier canonical one.
+
+    In each round every name is decided whose earlier matches are all decided, or one of whose is canonical; rounds are as
+    many as the longest chain of such decisions, each is a join over the open names, and each is written to the shared folder.
+    """
+    e = matched.select(F.least("a", "b").alias("early"), F.greatest("a", "b").alias("late"))
+    late = e.select(F.col("late").alias("id")).distinct()
+    state = names.select("id").join(late.withColumn("open", F.lit(True)), "id", "left")
+    state = stored(state.select("id", F.when(F.col("open").isNull(), "canonical").alias("state")), "state")
+    while not state.where("state is null").isEmpty():
+        told = e.join(state.withColumnsRenamed({"id": "early", "state": "told"}), "early").groupBy(F.col("late").alias("id"))
+        told = told.agg(F.max(F.coalesce(F.col("told") == "canonical", F.lit(False))).alias("taken"), F.min(F.col("told").isNotNull()).alias("whole"))
+        state = state.join(told, "id", "left").select("id", F.coalesce("state", F.when(F.col("taken"), "merged").when(F.col("whole"), "canonical")).alias("state"))
+        state = stored(state, "state")
+    return state.where("state = 'canonical'").select("id")
+
+
+def greedy_merge(entities: DataFrame) -> DataFrame:
+    """(vertex_id, canonical_id, score, method): the order-dependent merge, per tenant and label, by vertex_id.
+
+    A row joins the best matching canonical name made before it (the earlier of equals), else makes its own. What matches
+    is found set-wise over names that share a blocking key, so no task goes through a label row by row; only the order of
+    decisions is kept, in rounds over the matching names. Rows without a name, or with signs only, are left out.
+    """
+    norm = tx.normalize_name(F.col("entity_name"))
+    rows = entities.where("entity_name is not null").select("tenant_id", "label", norm.alias("norm"), "vertex_id").where("norm <> ''")
+    names = stored(names_of(entities), "names")
+    matched = stored(links(names), "matches")
+    canon = canonical_names(names, matched).withColumn("is_canon", F.lit(True))
+    total = names.agg(F.sum("n")).first()[0] or 0
+    key = lambda df: df.withColumn("k", F.struct(*[F.coalesce(F.concat(F.lit("="), c), F.lit("~")).alias(c) for c in ("tenant_id", "label", "norm")]))
+    known = key(names.join(canon, "id", "left")).select("k", "id", "n", F.coalesce("is_canon", F.lit(False)).alias("is_canon"))
+    placed = join_stats(key(rows).select("k", "vertex_id"), known, ["k"], "n", total)
+    own = placed.where("is_canon").select("vertex_id", F.col("id").alias("canonical_id"), F.lit(1.0).alias("score"), F.when(F.col("vertex_id") == F.col("id"), "new").otherwise("exact").alias("method"))
+    both = matched.unionByName(matched.select(F.col("b").alias("a"), F.col("a").alias("b"), "score", "method"))
+    near = both.join(canon.select(F.col("id").alias("a")), "a").select(F.col("b").alias("id"), F.col("a").alias("canonical_id"), "score", "method")
+    met = placed.where("not is_canon").select("vertex_id", "id").join(near, "id").where("canonical_id < vertex_id")
+    best = met.groupBy("vertex_id").agg(F.min_by(F.struct("canonical_id", "score", "method"), F.struct(-F.col("score"), "canonical_id")).alias("x"))
+    return own.unionByName(best.select("vertex_id", "x.canonical_id", F.round("x.score", 4).alias("score"), "x.method"))
+
+
 def _cosines(asked: DataFrame, known: DataFrame) -> DataFrame:
-    """(tenant_id, norm, enorm, cosine): names of a tenant that share a bucket of the hashed embedding."""
-    sides = []
-    for rows, name, weight in ((asked, "norm", "qw"), (known, "enorm", "w")):
-        keyed = rows.select(F.struct("tenant_id", F.col(name).alias("norm")).alias("doc"), F.translate(name, "_", " ").alias("text"))
-        sides.append(retrieval.hash_embed(keyed).select("doc.tenant_id", F.col("doc.norm").alias(name), "bucket", F.col("weight").alias(weight)))
-    return sides[0].join(sides[1], ["tenant_id", "bucket"]).groupBy("tenant_id", "norm", "enorm").agg(F.round(F.sum(F.col("qw") * F.col("w")), 4).alias("cosine"))
+    """(tenant_id, norm, enorm, cosine): names of a tenant whose hashed embeddings have a cosine of at least 0.70."""
+    text = lambda df, c: retrieval.hash_rows(df.select("tenant_id", F.col(c).alias("doc"), F.translate(c, "_", " ").alias("text")))
+    found = retrieval.hashed_pairs(text(asked, "norm"), text(known, "enorm"), LINK_COSINE)
+    return found.select("tenant_id", F.col("query_id").alias("norm"), F.col("doc").alias("enorm"), F.round("score", 4).alias("cosine"))
 
 
 def link_mentions(mentions: DataFrame, entities: DataFrame) -> DataFrame:
@@ -123,8 +131,8 @@ def link_mentions(mentions: DataFrame, entities: DataFrame) -> DataFrame:
     asked, known = m.select("tenant_id", "norm").distinct(), e.select("tenant_id", "enorm").distinct()
     alike = asked.join(known, "tenant_id").where(_may_match("norm", "enorm", SAME)).withColumn("score", F.when(F.col("norm") == F.col("enorm"), 1.0).otherwise(F.round(jaro_winkler("norm", "enorm"), 4))).where(F.col("score") >= SAME)
     alike = alike.withColumn("method", F.when(F.col("norm") == F.col("enorm"), "exact").otherwise("string_match"))
-    near = _cosines(asked, known).where(F.col("cosine") >= LINK_COSINE).withColumn("x", jaro_winkler("norm", "enorm")).where((F.col("x") >= LINK_FROM) & (F.round("x", 4) < SAME))
-    near = near.select("tenant_id", "norm", "enorm", F.round(0.7 * F.col("cosine") + 0.3 * F.col("x"), 4).alias("score"), F.lit("vector_knn").alias("method"))
+    near = _cosines(asked, known).withColumn("x", jaro_winkler("norm", "enorm")).where((F.col("x") >= LINK_FROM) & (F.round("x", 4) < SAME))
+    near = near.select("tenant_id", "norm", "enorm", F.round(LINK_COSINE_PART * F.col("cosine") + (1 - LINK_COSINE_PART) * F.col("x"), 4).alias("score"), F.lit("vector_knn").alias("method"))
     rows = m.join(alike.unionByName(near), ["tenant_id", "norm"]).join(e, ["tenant_id", "enorm"])
     w = Window.partitionBy("query_id", "mention").orderBy(F.desc("score"), "entity_id", "method")
     rows = rows.withColumn("r", F.row_number().over(w)).where("r = 1")

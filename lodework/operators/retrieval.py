@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodework.functions import text as tx
-from lodework.operators.skew import join_stats
 
 # Fixed values of the retrieval model.
 K1, B, PHRASE_BOOST, RRF_K = 1.5, 0.75, 0.5, 60
@@ -44,19 +43,28 @@ def query_terms(queries: DataFrame, query: str = "query_id", text: str = "query_
     return rows.groupBy("query_id", "tenant_id", "term").agg(F.count(F.lit(1)).alias("times"))
 
 
+#: A term that holds at least this part of all asked postings (so there are at most HOT_PARTS of them) is dealt out over salts.
+HOT_PARTS, SALTS = 1000, 32
+
+
 def bm25(index: Index, terms: DataFrame) -> DataFrame:
     """(query_id, tenant_id, doc, score) of all documents that hold a term of the query.
 
-    Only postings of terms that some query asks for are shuffled; a term in a large part of all documents is joined by
-    broadcast, so no task gets all of its postings.
+    Only postings of terms that some query asks for are shuffled. A term in a large part of all documents is salted: its
+    postings are dealt out by document and its query rows repeated per salt, so no task gets all of its postings.
     """
     asked = terms.select("tenant_id", "term").distinct()
     postings = index.postings.join(asked, ["tenant_id", "term"], "left_semi")
     df = postings.groupBy("tenant_id", "term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    per_term = df.join(F.broadcast(index.stats), "tenant_id").withColumn("idf", idf)
-    want = terms.join(per_term.drop("n_docs"), ["tenant_id", "term"])
-    hits = postings.join(want, ["tenant_id", "term"])
+    per_term = df.join(F.broadcast(index.stats), "tenant_id").withColumn("idf", idf)  # one row a tenant
+    whole = df.agg(F.sum("df").alias("whole"))
+    hot = df.crossJoin(F.broadcast(whole)).where((F.col("df") * HOT_PARTS >= F.col("whole")) & (F.col("df") > SALTS * SALTS)).select("tenant_id", "term", F.lit(True).alias("hot"))
+    want = terms.join(per_term.drop("n_docs"), ["tenant_id", "term"]).join(F.broadcast(hot), ["tenant_id", "term"], "left")
+    want = want.withColumn("salt", F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))).drop("hot")
+    dealt = postings.join(F.broadcast(hot), ["tenant_id", "term"], "left")
+    dealt = dealt.withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))).drop("hot")
+    hits = dealt.join(want, ["tenant_id", "term", "salt"])
     part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / F.col("avg_len")))
     return hits.groupBy("query_id", "tenant_id", "doc").agg(F.sum(part).alias("score"))
 
@@ -81,53 +89,88 @@ def index_stats(index: Index) -> DataFrame:
     return index.stats.join(terms, "tenant_id").select("tenant_id", "n_docs", "n_terms", F.round("avg_len", 1).alias("avg_len"))
 
 
-def _search_block(items: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFrame:
+def _scores(items: pd.DataFrame, queries: pd.DataFrame, k: int | None, least: float, same: bool) -> list[tuple]:
+    """The k best (or all) items per query by dot product of unit vectors, above `least`, ranked after rounding to 6 digits."""
+    a, b = np.stack(queries["unit"].to_numpy()), np.stack(items["unit"].to_numpy())
+    ids, docs = queries["query_id"].to_numpy(), items["doc"].to_numpy()
+    order = np.argsort(docs, kind="stable")  # ties go to the lesser key
+    docs, b = docs[order], b[order]
     out = []
-    sizes = {n for n in queries["vector"].map(len)} if len(queries) and len(items) else set()
-    for n in sizes:
-        i, q = items[items["vector"].map(len) == n], queries[queries["vector"].map(len) == n]
-        if not len(i):
-            continue
-        a, b = (np.stack(x["vector"].to_numpy()).astype(np.float64) for x in (q, i))
-        na, nb = np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1)
-        q, a, i, b = q[na > 0], a[na > 0] / na[na > 0, None], i[nb > 0], b[nb > 0] / nb[nb > 0, None]
-        ids, docs = q["query_id"].to_numpy(), i["doc"].to_numpy()
-        order = np.argsort(docs, kind="stable")  # ties go to the lesser key
-        docs, b = docs[order], b[order]
-        for lo in range(0, len(a), 1024):
-            s = np.round(a[lo : lo + 1024] @ b.T, 6)
+    for lo in range(0, len(a), 1024):
+        s = np.round(a[lo : lo + 1024] @ b.T, 6)
+        if same:
             s[ids[lo : lo + 1024, None] == docs[None, :]] = -1
-            for r, row in enumerate(s):
-                best = np.argsort(-row, kind="stable")[:k]
-                out += [(ids[lo + r], docs[c], row[c]) for c in best if row[c] > 0]
+        for r, row in enumerate(s):
+            best = np.flatnonzero(row >= least) if k is None else np.argsort(-row, kind="stable")[:k]
+            out += [(ids[lo + r], docs[c], row[c]) for c in best if row[c] > 0 and row[c] >= least]
+    return out
+
+
+def _search_block(items: pd.DataFrame, queries: pd.DataFrame, k: int | None, least: float, same: bool, dim: int | None) -> pd.DataFrame:
+    def unit(f: pd.DataFrame) -> pd.DataFrame:
+        if dim is not None:  # sparse vectors of unit length
+            rows = []
+            for at, w in zip(f["buckets"], f["weights"], strict=True):
+                v = np.zeros(dim)
+                v[np.asarray(at, dtype=np.int64)] = w
+                rows.append(v)
+            return f.assign(unit=rows, size=dim)
+        vectors = [np.asarray(v, dtype=np.float64) for v in f["vector"]]
+        norms = [np.linalg.norm(v) for v in vectors]
+        keep = [n > 0 for n in norms]
+        return f.assign(unit=[v / n if n > 0 else v for v, n in zip(vectors, norms, strict=True)], size=[len(v) for v in vectors])[keep]
+
+    out: list[tuple] = []
+    if len(items) and len(queries):
+        i, q = unit(items), unit(queries)
+        for n in sorted(set(q["size"]) & set(i["size"])):
+            out += _scores(i[i["size"] == n], q[q["size"] == n], k, least, same)
     return pd.DataFrame(out, columns=["query_id", "doc", "score"])
 
 
-def exact_search(queries: DataFrame, items: DataFrame, k: int, group: str | None = None, block: int = 32_768) -> DataFrame:
-    """Brute-force cosine search of a stated query set: (query_id, doc, score, rank), score > 0, an item never itself.
+def _in_blocks(queries: DataFrame, items: DataFrame, group: str | None, block: int, columns: list[str], **how: object) -> DataFrame:
+    """queries (query_id, ...) against all items (doc, ...) of their group, in pairs of blocks: (group, query_id, doc, score).
 
-    queries (query_id, vector[, group]) meet every item (doc, vector[, group]) of their group, in blocks of items: a
-    task holds one block and the queries in parts of the same size, multiplies them as matrices, and passes on k rows
-    per query. A group of any size is many blocks. Vectors of other sizes, zero vectors and nulls match nothing.
-    Cosines are in double, ranked after rounding to 6 digits, ties by key. For all-pairs search there is the graph index.
+    A task holds one block of items and one of queries. How many blocks a group has follows from its rows, counted first.
     """
     g = F.coalesce(F.concat(F.lit("="), F.col(group)), F.lit("~")) if group else F.lit("~")
-    q = queries.where("vector is not null").select(g.alias("g"), "query_id", "vector")
-    i = items.where("vector is not null").select(g.alias("g"), "doc", "vector")
-    spark = items.sparkSession
-    n_i = {r["g"]: -(-r["count"] // block) for r in i.groupBy("g").count().collect()}
-    n_q = {r["g"]: -(-r["count"] // block) for r in q.groupBy("g").count().collect()}
-    both = [(x, n_i[x], n_q[x]) for x in n_i if x in n_q]
-    sizes = F.broadcast(spark.createDataFrame(both, "g string, n_i int, n_q int"))
+    q, i = queries.select(g.alias("g"), "query_id", *columns), items.select(g.alias("g"), "doc", *columns)
+    q, i = q.toDF("g", "query_id", *columns), i.toDF("g", "doc", *columns)  # both may come from one table
+    parts = lambda df, n: df.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias(n))
+    sizes = parts(i, "n_i").join(parts(q, "n_q"), "g")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    i, q = i.toDF("g", "doc", "vector"), q.toDF("g", "query_id", "vector")  # both may come from one table
     left = i.join(sizes, "g").withColumn("bi", F.pmod(F.xxhash64("doc"), "n_i").cast("int")).withColumn("bq", each("n_q")).drop("n_i", "n_q")
     right = q.join(sizes, "g").withColumn("bq", F.pmod(F.xxhash64("query_id"), "n_q").cast("int")).withColumn("bi", each("n_i")).drop("n_i", "n_q")
     kinds = dict(q.dtypes)["query_id"], dict(i.dtypes)["doc"]
     keys = ["g", "bi", "bq"]
-    scored = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(partial(_search_block, k=k), f"query_id {kinds[0]}, doc {kinds[1]}, score double")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).withColumn("score", F.round("score", 4))
+
+    def run(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        found = _search_block(a, b, **how)
+        found.insert(0, "g", key[0])
+        return found
+
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(run, f"g string, query_id {kinds[0]}, doc {kinds[1]}, score double")
+
+
+def _ranked(scored: DataFrame, k: int, group: str | None) -> DataFrame:
+    w = Window.partitionBy("g", "query_id").orderBy(F.desc("score"), "doc")
+    rows = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).withColumn("score", F.round("score", 4))
+    if group:
+        rows = rows.withColumn(group, F.when(F.col("g") != "~", F.substring("g", 2, 1_000_000)))
+    return rows.drop("g")
+
+
+def exact_search(queries: DataFrame, items: DataFrame, k: int, group: str | None = None, block: int = 32_768) -> DataFrame:
+    """Brute-force cosine search of a stated query set: (query_id, doc, score, rank), score > 0, an item never itself.
+
+    queries (query_id, vector[, group]) meet every item (doc, vector[, group]) of their group, in blocks of items: a
+    task holds one block and the queries in parts of the same size, multiplies them as matrices, and passes on k rows
+    per query. A group of any size is many blocks. Vectors of other sizes, zero vectors and nulls match nothing.
+    Cosines are in double, ranked after rounding to 6 digits, ties by key. For all-pairs search there is the graph index.
+    """
+    has = lambda df: df.where("vector is not null")
+    scored = _in_blocks(has(queries), has(items), group, block, ["vector"], k=k, least=0.0, same=True, dim=None)
+    return _ranked(scored, k, None).select("query_id", "doc", "score", "rank")
 
 
 def fuse(lists: DataFrame, k: int | None = None, weights: dict[str, float] | None = None) -> DataFrame:
@@ -188,12 +231,23 @@ def hash_embed(docs: DataFrame, doc: str = "doc", text: str = "text", dim: int =
     return sums.join(sizes, "doc").select("doc", "bucket", (F.col("w") / F.col("size")).alias("weight"))
 
 
-def sparse_search(queries: DataFrame, items: DataFrame, k: int) -> DataFrame:
-    """Cosine of sparse unit vectors by an equi-join on buckets. Hot buckets are joined without gathering them."""
-    per = items.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
-    total = per.agg(F.sum("n")).first()[0] or 0
-    rows = join_stats(items, per, ["bucket"], "n", total).drop("n")
-    q = queries.select(F.col("doc").alias("query_id"), "bucket", F.col("weight").alias("qw"))
-    scored = rows.join(q, "bucket").groupBy("query_id", "doc").agg(F.round(F.sum(F.col("weight") * F.col("qw")), 4).alias("score")).where("score > 0")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+def hash_rows(docs: DataFrame, doc: str = "doc", text: str = "text", group: str = "tenant_id", dim: int = 384) -> DataFrame:
+    """The hashed embedding with one row per group and document: (group, doc, buckets, weights). Texts without a token give no row."""
+    keyed = docs.select(F.struct(F.col(group).alias("g"), F.col(doc).alias("d")).alias("doc"), F.col(text).alias("text"))
+    rows = hash_embed(keyed, dim=dim).groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("bucket", "weight"))).alias("x"))
+    return rows.select(F.col("doc.g").alias(group), F.col("doc.d").alias("doc"), F.transform("x", lambda s: s["bucket"]).alias("buckets"), F.transform("x", lambda s: s["weight"]).alias("weights"))
+
+
+def hashed_search(queries: DataFrame, items: DataFrame, k: int, group: str = "tenant_id", dim: int = 384, block: int = 8_192) -> DataFrame:
+    """The k best items of a query's own group by cosine of hashed embeddings (`hash_rows`): (group, query_id, doc, score, rank).
+
+    As `exact_search`: dense blocks, no row of another group is ever compared. Scores above 0 only.
+    """
+    scored = _in_blocks(queries.withColumnRenamed("doc", "query_id"), items, group, block, ["buckets", "weights"], k=k, least=0.0, same=False, dim=dim)
+    return _ranked(scored, k, group)
+
+
+def hashed_pairs(queries: DataFrame, items: DataFrame, least: float, group: str = "tenant_id", dim: int = 384, block: int = 8_192) -> DataFrame:
+    """All (group, query_id, doc, score) of one group whose hashed embeddings have a cosine of at least `least`."""
+    scored = _in_blocks(queries.withColumnRenamed("doc", "query_id"), items, group, block, ["buckets", "weights"], k=None, least=least, same=False, dim=dim)
+    return scored.select(F.when(F.col("g") != "~", F.substring("g", 2, 1_000_000)).alias(group), "query_id", "doc", "score")

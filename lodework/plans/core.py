@@ -122,8 +122,9 @@ def knn_embeddings(spark: SparkSession, d: str) -> DataFrame:
 
 @_query
 def knn_hashed(spark: SparkSession, d: str) -> DataFrame:
-    q = retrieval.hash_embed(_queries(spark, d), "query_id", "query_text")
-    return retrieval.sparse_search(q, retrieval.hash_embed(_chunks(spark, d)), 10)
+    """The 10 chunks of a query's own tenant that are nearest by hashed embedding."""
+    q = retrieval.hash_rows(_queries(spark, d), "query_id", "query_text")
+    return retrieval.hashed_search(q, retrieval.hash_rows(_chunks(spark, d)), 10).select("query_id", "doc", "score", "rank")
 
 
 def _lists(spark: SparkSession, d: str) -> DataFrame:
@@ -214,7 +215,7 @@ def configurations(spark: SparkSession, d: str) -> DataFrame:
     q = _queries(spark, d).withColumn("query_text", F.col("passage"))
     c = _chunks(spark, d)
     lexical = retrieval.top(retrieval.bm25(_index(spark, d), retrieval.query_terms(q)), 30).select("query_id", "doc", F.lit("lexical").alias("path"), "rank")
-    vector = retrieval.sparse_search(retrieval.hash_embed(q, "query_id", "query_text"), retrieval.hash_embed(c), 30).select("query_id", "doc", F.lit("vector").alias("path"), "rank")
+    vector = retrieval.hashed_search(retrieval.hash_rows(q, "query_id", "query_text"), retrieval.hash_rows(c), 30).select("query_id", "doc", F.lit("vector").alias("path"), "rank")
     nodes = graph.traverse(table(spark, d, "edges"), _seeds(spark, d), 1)
     by_graph = graph.graph_to_text(nodes, table(spark, d, "mentions")).join(c.select("doc", "chunk_id"), "chunk_id").select("query_id", "doc", F.lit("graph").alias("path"), "rank")
     order = F.when(F.col("path") == "vector", 1).when(F.col("path") == "lexical", 2).otherwise(3)

@@ -102,12 +102,6 @@ def _reports(queries: DataFrame, edges: DataFrame, entities: DataFrame) -> DataF
     return told.select("tenant_id", F.concat_ws(":", F.lit("community"), "tenant_id", "community").alias("doc"), F.concat_ws("\n", "title", "summary").alias("text"))
 
 
-def _of_tenant(vectors: DataFrame, rows: DataFrame, key: str) -> DataFrame:
-    """Sparse vectors whose buckets are their tenant's own, so that vectors of two tenants never meet."""
-    t = rows.select(F.col(key).alias("doc"), "tenant_id").distinct()
-    return vectors.join(t, "doc").select("doc", F.concat_ws("|", "tenant_id", "bucket").alias("bucket"), "weight")
-
-
 def hybrid(queries: DataFrame, chunks: DataFrame, entities: DataFrame, edges: DataFrame, mentions: DataFrame, top_k: int = 5) -> Result:
     """Understand, plan, search by words, hashed vectors and the graph, fuse by the plan's weights, expand, rerank, pack.
 
@@ -123,8 +117,8 @@ def hybrid(queries: DataFrame, chunks: DataFrame, entities: DataFrame, edges: Da
     docs = chunks.select("tenant_id", F.col("chunk_id").alias("doc"), "text")
     words = plan.where("use_lexical")
     lexical = retrieval.top(retrieval.bm25(retrieval.build_index(docs, "doc"), retrieval.query_terms(words)), many).select("query_id", "doc", F.lit("lexical").alias("path"), "rank")
-    q = retrieval.hash_embed(plan.where("use_vector"), "query_id", "query_text")
-    vector = retrieval.sparse_search(q, retrieval.hash_embed(docs), many).select("query_id", "doc", F.lit("vector").alias("path"), "rank")
+    q = retrieval.hash_rows(plan.where("use_vector"), "query_id", "query_text")
+    vector = retrieval.hashed_search(q, retrieval.hash_rows(docs), many).select("query_id", "doc", F.lit("vector").alias("path"), "rank")
     asked = plan.where("use_graph").select("query_id", "tenant_id", F.explode("mentions").alias("mention"))
     known = entities if "aliases" in entities.columns else entities.withColumn("aliases", F.lit(None).cast("array<string>"))
     linked = stored(resolve.link_mentions(asked, known), "linked")
@@ -141,8 +135,8 @@ def hybrid(queries: DataFrame, chunks: DataFrame, entities: DataFrame, edges: Da
     texts, wide = docs.select("doc", "text"), plan.where("use_community")
     if not wide.isEmpty():
         told = stored(_reports(wide, edges, entities), "reports")
-        q = _of_tenant(retrieval.hash_embed(wide, "query_id", "query_text"), wide, "query_id")
-        near = retrieval.sparse_search(q, _of_tenant(retrieval.hash_embed(told), told, "doc"), many).join(wide.select("query_id", "community_k"), "query_id").where("rank <= community_k")
+        q = retrieval.hash_rows(wide, "query_id", "query_text")
+        near = retrieval.hashed_search(q, retrieval.hash_rows(told), many).drop("tenant_id").join(wide.select("query_id", "community_k"), "query_id").where("rank <= community_k")
         after = after.unionByName(near.select("query_id", "doc", F.lit("community").alias("path"), "rank", F.lit(2).alias("list_no")))
         texts = texts.unionByName(told.select("doc", "text"))
     after = stored(retrieval.first_seen(after), "candidates")

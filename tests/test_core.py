@@ -183,6 +183,64 @@ def test_resolution(spark):
     assert pairs == {(1, 3)}
 
 
+def greedy_by_hand(rows):
+    """The merge row by row: what the set-based one has to equal."""
+    from lodework.functions.similarity import hashed_cosine_of
+
+    canon, out = {}, {}
+    for vid, tenant, label, norm in sorted(rows):
+        best = None
+        keys = lambda n: {n[:3], *(t for t in n.split("_") if len(t) >= 4)}
+        for (t, k, other), cid in canon.items():
+            if (t, k) != (tenant, label) or not keys(norm) & keys(other):
+                continue
+            if other == norm:
+                best = (cid, 1.0, "exact")
+                break
+            x = jaro_winkler_of(norm, other)
+            if x >= 0.85:
+                found = (cid, x, "string_match")
+            elif x >= 0.60 and hashed_cosine_of(norm, other) >= 0.80:
+                found = (cid, round(0.6 * hashed_cosine_of(norm, other) + 0.4 * x, 4), "vector_assisted")
+            else:
+                continue
+            if best is None or found[1] > best[1]:
+                best = found
+        if best is None:
+            canon[(tenant, label, norm)] = vid
+            best = (vid, 1.0, "new")
+        out[vid] = (best[0], round(best[1], 4), best[2])
+    return out
+
+
+def test_greedy_merge_against_rows_in_order(spark, sf):
+    e = spark.createDataFrame([(1, "t", "Person", "Christopher Nolan"), (2, "t", "Person", "Kristopher Nolan"), (3, "t", "Person", "Catherine Smith"), (4, "t", "Person", "Katherine Smith"), (5, "t", "Org", "Warner Brothers Pictures"), (6, "t", "Org", "Pictures Warner Brothers"), (7, None, "Org", "Warner Brothers"), (8, None, "Org", "warner brothers"), (9, "t", "Org", "?!")], "vertex_id long, tenant_id string, label string, entity_name string")
+    got = {r["vertex_id"]: (r["canonical_id"], r["method"]) for r in resolve.greedy_merge(e).collect()}
+    assert got == {1: (1, "new"), 2: (1, "string_match"), 3: (3, "new"), 4: (3, "string_match"), 5: (5, "new"), 6: (5, "vector_assisted"), 7: (7, "new"), 8: (7, "exact")}
+    table = spark.read.parquet(f"{sf}/entities.parquet")
+    rows = [(r["vertex_id"], r["tenant_id"], r["label"], r["n"]) for r in table.where("entity_name is not null").select("vertex_id", "tenant_id", "label", tx.normalize_name(F.col("entity_name")).alias("n")).where("n <> ''").collect()]
+    assert {r["vertex_id"]: (r["canonical_id"], r["score"], r["method"]) for r in resolve.greedy_merge(table).collect()} == greedy_by_hand(rows)
+
+
+def test_hashed_search_stays_in_its_tenant(spark):
+    texts = [("a", 1, "red fox runs"), ("b", 2, "red fox runs"), (None, 3, "red fox runs"), ("a", 4, ""), ("a", 5, None), ("a", 6, "blue whale")]
+    rows = retrieval.hash_rows(spark.createDataFrame(texts, "tenant_id string, doc long, text string"))
+    q = retrieval.hash_rows(spark.createDataFrame([("a", 1, "red fox"), (None, 2, "red fox")], "tenant_id string, doc long, text string"))
+    got = {(r["tenant_id"], r["query_id"]): r["doc"] for r in retrieval.hashed_search(q, rows, 3, block=1).where("rank = 1").collect()}
+    assert got == {("a", 1): 1, (None, 2): 3}
+    assert {r["doc"] for r in retrieval.hashed_pairs(q, rows, 0.7).collect()} == {1, 3}
+    assert retrieval.hashed_search(q, rows.limit(0), 3).count() == 0
+
+
+def test_bm25_salts_hot_terms(spark, monkeypatch):
+    docs = spark.createDataFrame([("t", i, f"common word{i % 7}" + " common" * (i % 3)) for i in range(300)], "tenant_id string, chunk_no long, text string")
+    q = retrieval.query_terms(spark.createDataFrame([(1, "t", "common word3"), (2, "t", "word4")], "query_id long, tenant_id string, query_text string"))
+    score = lambda: {(r["query_id"], r["doc"]): round(r["score"], 9) for r in retrieval.bm25(retrieval.build_index(docs), q).collect()}
+    plain = score()
+    monkeypatch.setattr(retrieval, "SALTS", 4)
+    assert score() == plain and len(plain) > 300
+
+
 def test_link_mentions(spark):
     e = spark.createDataFrame([("t", "p1", "Person", "Christopher Nolan", ["Chris Nolan"]), ("t", "p2", "Person", "Nolan Bush", None)], "tenant_id string, entity_id string, label string, entity_name string, aliases array<string>")
     m = spark.createDataFrame([(1, "t", "Christopher Nolan"), (1, "t", "Chris  Nolan"), (2, "t", "Christofer Nolan"), (3, "t", "Zzz")], "query_id int, tenant_id string, mention string")
