@@ -34,14 +34,20 @@ def local_session(app: str = "lodework", cores: int | str = "*", shuffle_partiti
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a folder of our own where that is unset."""
+    """The folder all executors share: spark.checkpoint.dir. Where that is unset a local session gets a folder of its own;
+    on a cluster it is an error, as every executor would write to its own disk."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="lodework-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+_STORED: list[str] = []
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm
@@ -51,15 +57,24 @@ def _delete(spark: SparkSession, path: str) -> None:
         pass
 
 
+def release(spark: SparkSession) -> None:
+    """Deletes the tables that `stored` wrote: once the results of the queries built on them have been read or written."""
+    while _STORED:
+        _delete(spark, _STORED.pop())
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written once to the shared folder and read back: a stage boundary that survives the loss of executors.
 
-    Used where an expensive stage (Python, many scans) feeds several consumers. The files go when the driver ends.
+    Used where an expensive stage (Python, many scans) feeds several consumers. The files go with `release`, at the latest
+    when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lodework/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(_delete, spark, path)
+    if not _STORED:
+        atexit.register(release, spark)
+    _STORED.append(path)
     return spark.read.parquet(path)
 
 
