@@ -20,15 +20,18 @@ DOMAINS = {
         "follow": "AFFECTS HAS_ATTRIBUTE PART_OF DERIVED_FROM ASSOCIATED_WITH CITES PRECEDES RELATED_TO".split(),
     },
 }
-TENANT_DOMAIN = {"movies_bot": "film", "tmdb_films": "film", "ai_trends_bot": "ai_research"}
 
-# Fixed values of the mention filter.
-NOT_NAMES = set(
-    "the a an this that these those it its introduction overview summary conclusion references contents abstract background plot cast reception production notes "
-    "however although therefore moreover furthermore meanwhile nevertheless additionally consequently subsequently similarly instead despite while when where after before during "
-    "following according based using several many most some other another both each such there here his her their they he she we you who what in on at to for with by from as is was were "
-    "development release critical commercial citation retrieved archived original isbn doi pp vol ed".split()
+# Fixed values of the mention filter: titles of sections that name no one.
+SECTION_TITLES = set(
+    "introduction overview summary conclusion references contents abstract background plot cast reception production notes development release "
+    "citation bibliography archived original retrieved isbn doi".split()
 ) | {"critical response", "see also", "external links", "further reading", "et al"}
+# Words that open sentences in capitals without being names: articles, pronouns, prepositions, conjunctions, adverbs, auxiliaries.
+FUNCTION_WORDS = set(
+    "a an the this that these those each both some many most several such other another it its he his she her we they their you who what there here "
+    "in on at to for with by from as before after during despite following according using based while when where although however therefore moreover "
+    "furthermore meanwhile nevertheless additionally consequently subsequently similarly instead is was were critical commercial pp vol ed".split()
+)
 DATE = r"(?:\d{1,4}|January|February|March|April|May|June|July|August|September|October|November|December|Monday|Tuesday|Wednesday|Thursday|Friday|Saturday|Sunday)(?:\s+\d{1,4})?"
 PREDICATE = (
     "is was are were has have had became remains features stars received premiered grossed introduced outperforms builds uses supersedes consists refers marks won earned "
@@ -116,7 +119,3 @@ RELATIONS = {
         ("RELATED_TO", "related to|relates to|pertains to|concerns|involves|regarding", False, "", "", 0.75),
     ],
 }
-
-
-def domain_of(tenant: str | None) -> str:
-    return TENANT_DOMAIN.get(tenant or "", "generic")

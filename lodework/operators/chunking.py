@@ -15,7 +15,9 @@ from lodework.functions import text as tx
 
 # Fixed values of the chunk model.
 TARGET, MOST, OVERLAP, ROWS_PER_CHUNK, LEAST_TOKENS, LEAST_ALPHA = 500, 600, 100, 20, 8, 0.35
-BOILERPLATE = r"(?i)^\s*(?:table of contents|all rights reserved|copyright|page \d+(?: of \d+)?|click here|cookie policy|privacy policy|subscribe)\b"
+BOILERPLATE = (
+    r"(?i)^(?:see also|references|external links|further reading|notes|bibliography|table of contents|contents|index|appendix|page \d+|figure \d+|copyright|all rights reserved|confidential)[\s:.-]*$"
+)
 
 _HEADING = re.compile(r"^[ \t]{0,3}(#{1,6})[ \t]+(\S.*?)[ \t]*#*[ \t]*$")
 _SEPARATOR = re.compile(r"^\s*\|?\s*:?-+:?\s*(\|\s*:?-+:?\s*)+\|?\s*$")
@@ -210,7 +212,7 @@ def issues(kind: Column, text: Column, tokens: Column) -> Column:
     return F.array_compact(F.array(
         finding("empty", "reject", blank),
         finding("too_short", "reject", ~blank & (tokens < LEAST_TOKENS) & (kind != "record")),
-        finding("boilerplate", "reject", text.rlike(BOILERPLATE)),
+        finding("boilerplate", "reject", F.trim(text).rlike(BOILERPLATE)),
         finding("low_alpha", "reject", low & (kind == "prose")),
         finding("low_alpha", "warn", low & (kind != "prose")),
         finding("oversized", "warn", tokens > 3 * MOST),

@@ -15,7 +15,7 @@ ANAPHORIC_PHRASE = r"(?i)^\s*(?:what about|how about|and|but|ok|okay|then|so)?\s
 GLOBAL = r"(?i)\b(?:overall|in general|generally|main|major|key|common|overview|summar(?:y|ise|ize)|themes?|topics?|patterns?|trends?|categories|what kinds? of|what types? of|across (?:the|all)|most (?:common|frequent)|how many|list all|everything about|broadly)\b"
 LOCAL = r"(?i)\b(?:who|which|what) (?:is|are|was|were|treats?|causes?|directed|released|made|wrote|composed|developed|created)\b|\b(?:tell me about|explain|describe|details? (?:of|about)|used for|related to|connected to|associated with)\b"
 MULTIHOP = r"(?i)\b(?:other|also|both|besides|apart from|as well as|else|the (?:director|author|creator|maker|company|organization) of|who (?:directed|wrote|created|released) .{0,40}(?:also|other)|connect(?:s|ed|ion)|relationship between|link between|same .{0,20}as|shared|in common)\b"
-QUOTED = r"\"([^\"]{2,80})\""
+QUOTED = r"\"[^\"]{2,80}\"|'[^']{2,80}'"
 IDENTIFIER = r"\b(?:[A-Z]{2,}[-_]?\d*|\w+[-_]\d+|\d+[A-Za-z]+)\b"
 MENTION = r"\b[A-Z][a-zA-Z0-9'’\-]*(?:\s+[A-Z][a-zA-Z0-9'’\-]*)*\b"
 WORD = r"[A-Za-z0-9][A-Za-z0-9'’\-]*"
@@ -65,10 +65,14 @@ def underspecified(text: Column) -> Column:
 
 
 def resolve_context(turns: DataFrame) -> DataFrame:
-    """turns (conv_id, turn, text) with resolved_text: an unresolvable turn takes over the last one's subject."""
+    """turns (conv_id, turn, text) with resolved_text: a turn that can't be resolved as written takes over the last one.
+
+    A continuation ("more herbs") and a reference ("it") become the last turn; a bare category is put after it.
+    """
     before = F.trim(F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn")))
     rows = turns.withColumns({"reason": underspecified(F.col("text")), "before": before})
-    inherits = F.col("reason").isin("anaphora_without_antecedent", "continuation_without_prior_turn")
+    first = F.get(F.split(F.lower(F.regexp_replace(F.trim("text"), r"^[?!.]+|[?!.]+$", "")), r"\s+"), F.lit(0))
+    inherits = first.isin(CONTINUATION) | first.isin(ANAPHORIC) | F.col("text").rlike(ANAPHORIC_PHRASE)
     text = F.when(F.col("reason").isNull() | F.col("before").isNull() | (F.col("before") == ""), F.col("text")).when(inherits, F.col("before")).otherwise(F.concat_ws(" ", "before", "text"))
     return rows.withColumn("resolved_text", text).drop("before")
 
@@ -77,7 +81,7 @@ def analyse(queries: DataFrame, text: str = "query_text") -> DataFrame:
     """queries with mentions, identifiers, quoted, hops, the three scores, intent and confidence."""
     t = F.coalesce(F.col(text), F.lit(""))
     rows = queries.withColumns({
-        "reason": underspecified(t), "mentions": mentions(t), "identifiers": identifiers(t), "quoted": F.regexp_extract_all(t, F.lit(QUOTED), F.lit(1)),
+        "reason": underspecified(t), "mentions": mentions(t), "identifiers": identifiers(t), "quoted": F.transform(F.regexp_extract_all(t, F.lit(QUOTED), F.lit(0)), lambda x: F.substring(x, F.lit(2), F.length(x) - 2)),
         "is_global": t.rlike(GLOBAL), "is_local": t.rlike(LOCAL), "is_multihop": t.rlike(MULTIHOP), "n_words": F.size(F.filter(F.split(t, r"\s+"), lambda w: w != "")),
     })
     n = F.size("mentions")

@@ -491,8 +491,12 @@ def records_verbalized(spark: SparkSession, d: str) -> DataFrame:
 # ---------------------------------------------------------------- extraction and resolution
 
 
+#: The vocabulary of each tenant of the test tables.
+DOMAINS = {"movies_bot": "film", "ai_trends_bot": "ai_research"}
+
+
 def _extracted(spark: SparkSession, d: str) -> DataFrame:
-    return extract.extract(spread(_chunks(spark, d)))
+    return extract.extract(spread(_chunks(spark, d)), DOMAINS)
 
 
 @_query

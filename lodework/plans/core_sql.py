@@ -163,7 +163,7 @@ q3 AS (SELECT *, list_filter(runs1, lambda p, i: list_position(list_transform(ru
 q4 AS (SELECT query_id, t, list_slice(CASE WHEN len(runs2) > 0 THEN runs2 ELSE words1 END, 1, 8) AS mentions,
   list_slice(list_filter(list_filter(regexp_extract_all(t, {_s(understand.IDENTIFIER)}), lambda w: length(w) >= 2 AND lower(w) NOT IN {_in(understand.STOP)}), lambda w: true), 1, 6) AS identifiers,
   regexp_matches(t, {_s(understand.GLOBAL)}) AS g, regexp_matches(t, {_s(understand.LOCAL)}) AS l, regexp_matches(t, {_s(understand.MULTIHOP)}) AS h,
-  len(list_filter(string_split_regex(t, '\s+'), lambda w: w <> '')) AS n_words, len(regexp_extract_all(t, '"([^"]{{2,80}})"')) AS quoted FROM q3),
+  len(list_filter(string_split_regex(t, '\s+'), lambda w: w <> '')) AS n_words, len(regexp_extract_all(t, {_s(understand.QUOTED)})) AS quoted FROM q3),
 q5 AS (SELECT *, CASE WHEN g THEN 3.0 ELSE 0.0 END + CASE WHEN len(mentions) = 0 THEN 1.0 ELSE 0.0 END AS global_score,
   round(CASE WHEN l THEN 1.5 ELSE 0.0 END + CASE WHEN len(mentions) > 0 AND NOT g THEN 1.0 + least(len(mentions), 3) * 0.3 ELSE 0.0 END + CASE WHEN n_words <= 3 AND len(mentions) > 0 THEN 0.5 ELSE 0.0 END + CASE WHEN h THEN 1.0 ELSE 0.0 END, 4) AS local_score,
   round(CASE WHEN quoted > 0 THEN 2.5 ELSE 0.0 END + CASE WHEN len(identifiers) > 0 THEN 1.5 ELSE 0.0 END + CASE WHEN n_words <= 3 AND len(mentions) > 0 THEN 0.8 ELSE 0.0 END, 4) AS lexical_score FROM q4),
@@ -250,7 +250,7 @@ SELECT tenant_id, community, members, coalesce(n, 0) AS internal_edges, row_numb
     "document_headings": r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents WHERE trim(text) <> '')
 SELECT doc_id, count(*) AS headings, CAST(min(length(regexp_extract(line, '^[ \t]{0,3}(#{1,6})', 1))) AS INT) AS top_level FROM l WHERE regexp_matches(line, '^[ \t]{0,3}#{1,6}[ \t]+\S') GROUP BY 1""",
     "block_issues": f"""WITH b AS (SELECT block_no, kind, text, {_TOKENS.format('text')} AS tk, coalesce(trim(text), '') = '' AS blank, {_ALPHA} AS alpha FROM blocks),
-x AS (SELECT block_no, list_filter([CASE WHEN blank THEN 'empty:reject' END, CASE WHEN NOT blank AND tk < 8 AND kind <> 'record' THEN 'too_short:reject' END, CASE WHEN regexp_matches(text, {_s(chunking.BOILERPLATE)}) THEN 'boilerplate:reject' END, CASE WHEN NOT blank AND alpha < 0.35 THEN CASE WHEN kind = 'prose' THEN 'low_alpha:reject' ELSE 'low_alpha:warn' END END, CASE WHEN tk > 1800 THEN 'oversized:warn' END], lambda z: z IS NOT NULL) AS i FROM b)
+x AS (SELECT block_no, list_filter([CASE WHEN blank THEN 'empty:reject' END, CASE WHEN NOT blank AND tk < 8 AND kind <> 'record' THEN 'too_short:reject' END, CASE WHEN regexp_matches(trim(text), {_s(chunking.BOILERPLATE)}) THEN 'boilerplate:reject' END, CASE WHEN NOT blank AND alpha < 0.35 THEN CASE WHEN kind = 'prose' THEN 'low_alpha:reject' ELSE 'low_alpha:warn' END END, CASE WHEN tk > 1800 THEN 'oversized:warn' END], lambda z: z IS NOT NULL) AS i FROM b)
 SELECT block_no, array_to_string(i, ',') AS issues, len(list_filter(i, lambda z: contains(z, ':reject'))) = 0 AS valid FROM x""",
     "sibling_links": "WITH b AS (SELECT block_no, tenant_id, doc_key, block_pos, doc_key || '_c' || block_pos AS chunk_id FROM blocks WHERE doc_key IS NOT NULL) SELECT block_no, chunk_id, lag(chunk_id) OVER w AS prev_chunk_id, lead(chunk_id) OVER w AS next_chunk_id FROM b WINDOW w AS (PARTITION BY tenant_id, doc_key ORDER BY block_pos)",
     "table_chunks": """WITH r AS (SELECT block_no, table_headers AS h, generate_subscripts(table_rows, 1) - 1 AS pos, unnest(table_rows) AS cells FROM blocks WHERE kind = 'table'),

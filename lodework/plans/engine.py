@@ -29,6 +29,7 @@ class Result:
 class Engine:
     spark: SparkSession
     root: str
+    domains: dict[str, str] = field(default_factory=dict)  # the vocabulary of each tenant; others are generic
     store: Store = field(init=False)
 
     def __post_init__(self) -> None:
@@ -50,7 +51,7 @@ class Engine:
         blocks = chunking.parse_markdown(documents, "doc_id", "text").withColumn("tenant_id", F.lit(t.name))
         packed = chunking.validate(chunking.chunk_blocks(blocks, "doc")).where("valid").drop("issues", "valid")
         chunks = stored(chunking.linked(packed).withColumns({"doc": F.col("doc").cast("string"), "embedding_version": F.lit(EMBEDDING_VERSION)}), "chunks")
-        found = stored(extract.extract(chunks), "extracted")
+        found = stored(extract.extract(chunks, self.domains), "extracted")
         vertices = extract.vertices(found)
         merged = resolve.greedy_merge(vertices.withColumn("vertex_id", F.xxhash64("tenant_id", "entity_id")))
         ids = vertices.select(F.xxhash64("tenant_id", "entity_id").alias("vertex_id"), "entity_id")

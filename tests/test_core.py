@@ -163,15 +163,33 @@ def test_links_and_validation(spark):
     assert links[0]["prev_chunk_id"] is None and links[-1]["next_chunk_id"] is None and links[1]["prev_chunk_id"] == links[0]["chunk_id"]
 
 
-def test_extraction():
+def extract_one(spark, text, domain):
+    rows = extract.extract(spark.createDataFrame([("t", "c", text), ("t", "n", None)], "tenant_id string, chunk_id string, text string"), {"t": domain}).collect()
+    return [r for r in rows if r["row"] == "vertex"], [r for r in rows if r["row"] == "edge"]
+
+
+def test_extraction(spark):
     text = "Christopher Nolan directed Inception in 2010. Inception is a film. However, January was cold."
-    vertices, edges = extract.extract_one(text, "film")
-    names = {v[2]: v[1] for v in vertices}
+    vertices, edges = extract_one(spark, text, "film")
+    names = {v["name"]: v["label"] for v in vertices}
     assert names["Christopher Nolan"] == "Person" and names["Inception"] == "Film" and not {"However", "January"} & set(names)
-    assert [(e[0], e[1], e[2]) for e in edges] == [("canon_person_christopher_nolan", "DIRECTED", "canon_film_inception")]
-    assert all(e[3] >= 0.8 for e in edges) and extract.extract_one("", "generic") == ([], [])
-    passive = extract.extract_one("The film Inception was directed by Christopher Nolan.", "film")[1]
-    assert [(e[0], e[1], e[2]) for e in passive] == [("canon_person_christopher_nolan", "DIRECTED", "canon_film_inception")]
+    triples = lambda es: [(e["entity_id"], e["edge_type"], e["target_id"]) for e in es]
+    assert triples(edges) == [("canon_person_christopher_nolan", "DIRECTED", "canon_film_inception")]
+    assert all(e["confidence"] >= 0.8 for e in edges) and extract_one(spark, "", "generic") == ([], [])
+    passive = extract_one(spark, "The film Inception was directed by Christopher Nolan.", "film")[1]
+    assert triples(passive) == [("canon_person_christopher_nolan", "DIRECTED", "canon_film_inception")]
+
+
+def test_coordinated_relations(spark):
+    edges = extract_one(spark, "Acme Cure treats Gout Fever, Swamp Pox, Dry Rot, Cold Feet. In time Acme Cure treats Gout Fever. Old Salve helps Bad Luck.", "generic")[1]
+    got = {(e["entity_id"].split("_", 2)[2], e["target_id"].split("_", 2)[2]): e["confidence"] for e in edges if e["edge_type"] == "AFFECTS"}
+    assert got == {("acme_cure", "gout_fever"): 0.86, ("acme_cure", "swamp_pox"): 0.83, ("acme_cure", "dry_rot"): 0.8}
+
+
+def test_opening_subject():
+    text = "Quorvex, first shown in May, is a film of 1999. Years later people still spoke about Quorvex at length."
+    late = [m for m in extract.mentions_of(text, "film") if m.name == "Quorvex"]
+    assert {(m.label, m.confidence) for m in late} == {("Film", 0.82)}
 
 
 def test_resolution(spark):
@@ -355,3 +373,18 @@ def test_pass_rules(spark):
     texts = F.when(F.col("text").isNotNull(), F.array("text"))
     ok = metrics.pass_rule(F.col("rule"), texts, F.array(F.lit("good")), F.array(F.lit("BAD")), F.lit("clarify"), F.lit("global"), F.lit(0), F.lit(None).cast("int"), F.size(F.coalesce(texts, F.array().cast("array<string>"))), F.col("rejected"))
     assert all(r["ok"] == r["want"] for r in df.withColumn("ok", ok).collect())
+
+
+def test_boilerplate_is_the_whole_text(spark):
+    texts = ["See also:", "COPYRIGHT", "page 12.", "Copyright law in Germany protects works for seventy years after death.", "Subscribe to the view that rivers change their beds."]
+    df = spark.createDataFrame([(i, "prose", t) for i, t in enumerate(texts)], "i int, kind string, text string").withColumn("token_count", F.lit(50))
+    got = {r["i"]: "boilerplate" in [x["code"] for x in r["issues"]] for r in chunking.validate(df).collect()}
+    assert got == {0: True, 1: True, 2: True, 3: False, 4: False}
+
+
+def test_quotes_and_continuations(spark):
+    q = spark.createDataFrame([(1, "find 'exact words' here"), (2, 'and "these" or \'those\'')], "query_id int, query_text string")
+    assert {r["query_id"]: r["quoted"] for r in understand.analyse(q).collect()} == {1: ["exact words"], 2: ["these", "those"]}
+    turns = spark.createDataFrame([("c", 1, "Which herbs help?"), ("c", 2, "more herbs"), ("d", 1, "Who is Ada?"), ("d", 2, "documents")], "conv_id string, turn int, text string")
+    got = {(r["conv_id"], r["turn"]): r["resolved_text"] for r in understand.resolve_context(turns).collect()}
+    assert got[("c", 2)] == "Which herbs help?" and got[("d", 2)] == "Who is Ada? documents"

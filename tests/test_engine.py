@@ -19,7 +19,7 @@ DOCS = [
 
 
 def test_ingest_search_and_repeat(spark, tmp_path):
-    e = Engine(spark, str(tmp_path / "kb"))
+    e = Engine(spark, str(tmp_path / "kb"), {"movies_bot": "film"})
     with pytest.raises(guards.TenantError):
         e.store.read(guards.Tenant("movies_bot"), "chunks")
     e.provision("movies_bot")
