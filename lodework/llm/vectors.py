@@ -2,11 +2,12 @@
 
 Insertion is batched: a batch searches the graph greedily, and what its beams meet (with the nearest of its own batch)
 are the proposals. Relaxed pruning takes the nearest proposal and drops every other one that is closer to it, by a
-factor, than to the point, so edges stay diverse. Every vector then queries each shard of its group with a beam.
+factor, than to the point, so edges stay diverse. Every vector then queries the shards around it with a beam.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
@@ -150,7 +151,7 @@ def _build(f: pd.DataFrame, degree: int, beam: int) -> pd.DataFrame:
     g = Graph(unit(f["vector"]), degree, beam)
     entry = np.zeros(len(f), dtype=bool)
     entry[g.entries] = True
-    return f[["group_id", "shard", "key", "vector"]].assign(node=np.arange(len(f), dtype=np.int32), edges=list(g.edges), entry=entry)
+    return f[["group_id", "cell", "shard", "key", "vector"]].assign(node=np.arange(len(f), dtype=np.int32), edges=list(g.edges), entry=entry)
 
 
 def _query(graph: pd.DataFrame, queries: pd.DataFrame, k: int, beam: int) -> pd.DataFrame:
@@ -176,38 +177,86 @@ def usable(vector: Column, size: int) -> Column:
     return F.coalesce((F.size(vector) == size) & finite & F.exists(vector, lambda v: v != 0), F.lit(False))
 
 
-def nearest(items: DataFrame, key: str, group: str, vector: str, k: int = 5, shard_rows: int = 16_384, query_rows: int = 16_384, degree: int = 24, beam: int = 40) -> DataFrame:
+def centroids(sample: np.ndarray, cells: int, rounds: int = 8, seed: int = 3) -> np.ndarray:
+    """Unit centroids of `cells` cells of unit vectors, by a few rounds of spherical k-means."""
+    rng = np.random.default_rng(seed)
+    c = sample[rng.permutation(len(sample))[:cells]].copy()
+    for _ in range(rounds):
+        home = np.concatenate([(sample[i : i + 4096] @ c.T).argmax(axis=1) for i in range(0, len(sample), 4096)])
+        for k in range(len(c)):
+            mine = sample[home == k]
+            if len(mine):
+                m = mine.mean(axis=0)
+                c[k] = m / (np.linalg.norm(m) or 1.0)
+    return c
+
+
+def _route(frames: Iterator[pd.DataFrame], cells: dict[str, np.ndarray], probes: int) -> Iterator[pd.DataFrame]:
+    """Every vector with the cells nearest to it, its own first."""
+    for f in frames:
+        near = np.empty(len(f), dtype=object)
+        for g, at in f.groupby("group_id").indices.items():
+            if g not in cells:
+                for i in at:
+                    near[i] = [0]
+                continue
+            c = cells[g]
+            sims = unit(f["vector"].iloc[at]) @ c.T
+            order = np.argsort(-sims, axis=1, kind="stable")[:, :probes]
+            for i, row in zip(at, order, strict=True):
+                near[i] = row.tolist()
+        yield f.assign(near=near)
+
+
+def nearest(items: DataFrame, key: str, group: str, vector: str, k: int = 5, shard_rows: int = 16_384, query_rows: int = 16_384, degree: int = 24, beam: int = 40, probes: int = 8, sample: int = 50_000) -> DataFrame:
     """The k most similar others of every vector within its group, nearly always found: (key, other, rank, cosine).
 
     items must hold usable vectors of one size under unique integer keys; a null group is a group. Cosines are computed
     in double from the vectors as stored; equal ones are ranked by key. Equal vectors are indexed once: a vector with copies has
     them as its most similar others (the lowest keys first), and copies of a neighbour follow each other, so a group
-    of copies of any size costs a few rows per copy. No shard holds much more than shard_rows vectors, no task more
-    than one shard and query_rows queries. An empty table gives an empty table.
+    of copies of any size costs a few rows per copy. An empty table gives an empty table.
+
+    A group of more than shard_rows vectors is cut into cells around centroids, fitted on at most `sample` of its vectors;
+    every vector is indexed in its nearest cell and queries the `probes` nearest, so it is copied to that many shards
+    however large the group is (with no more cells than probes, to all). A cell of more than shard_rows vectors is dealt
+    out over several shards. No task holds more than one shard and about query_rows queries.
     """
-    rows = items.select(F.coalesce(F.concat(F.lit("="), F.col(group)), F.lit("~")).alias("group_id"), F.col(key).cast("long").alias("key"), F.col(vector).alias("vector"))
+    clean = F.transform(F.col(vector), lambda v: v + F.lit(0.0).cast("float"))  # one zero, so that equal vectors have one digest
+    rows = items.select(F.coalesce(F.concat(F.lit("="), F.col(group)), F.lit("~")).alias("group_id"), F.col(key).cast("long").alias("key"), clean.alias("vector"))
+    rows = rows.withColumns({"h1": F.xxhash64("vector"), "h2": F.xxhash64(F.lit(1), "vector")})
     spark = rows.sparkSession
-    reps = stored(rows.groupBy("group_id", "vector").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("copies")), "vectors")
-    sizes = {r["group_id"]: r["count"] for r in reps.groupBy("group_id").count().collect()}
-    told = spark.createDataFrame([(g, -(-n // shard_rows), -(-n // query_rows)) for g, n in sizes.items()], "group_id string, n_shards int, n_parts int")
-    spread = reps.join(F.broadcast(told), "group_id")
-    dealt = spread.withColumns({"shard": F.pmod(F.xxhash64("key"), "n_shards").cast("int"), "part": F.pmod(F.xxhash64("key", F.lit(1)), "n_parts").cast("int")})
-    n_shards = sum(-(-n // shard_rows) for n in sizes.values())
-    n_tasks = sum(-(-n // shard_rows) * -(-n // query_rows) for n in sizes.values())
-    graphs = dealt.select("group_id", "shard", "key", "vector", "n_parts").repartition(max(1, 4 * n_shards), "group_id", "shard")
-    schema = "group_id string, shard int, key long, vector array<float>, node int, edges array<int>, entry boolean"
-    graphs = stored(graphs.groupBy("group_id", "shard").applyInPandas(partial(_build, degree=degree, beam=beam), schema), "graphs")
-    keys = ["group_id", "shard", "part"]
+    reps = stored(rows.groupBy("group_id", "h1", "h2", "vector").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("copies")), "vectors")
+    sizes = {r["group_id"]: r["count"] for r in reps.groupBy("group_id").count().collect()}  # one row a group
+    cells: dict[str, np.ndarray] = {}
+    for g, n in sizes.items():
+        if n > shard_rows:
+            part = reps.where(F.col("group_id") == g).where(F.pmod(F.xxhash64("key", F.lit(7)), F.lit(n)) < sample).select("vector").limit(2 * sample).toPandas()
+            cells[g] = centroids(unit(part["vector"]), -(-n // shard_rows))
+    kept = reps.select("group_id", "key", "vector", "copies")
+    routed = stored(kept.mapInPandas(partial(_route, cells=cells, probes=probes), "group_id string, key long, vector array<float>, copies long, near array<int>"), "routed")
+    routed = routed.withColumn("cell", F.col("near")[0])
+    parts = lambda c, n, rows: c.groupBy("group_id", "cell").agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias(n))
+    shards, asks = parts(routed, "n_shards", shard_rows), parts(routed.select("group_id", F.explode("near").alias("cell")), "n_parts", query_rows)
+    told = stored(shards.join(asks, ["group_id", "cell"]), "cells")  # one row a cell
+    n_shards, n_tasks = told.agg(F.sum("n_shards"), F.sum(F.col("n_shards") * F.col("n_parts"))).first()
+    keys = ["group_id", "cell", "shard"]
+    graphs = routed.join(told, ["group_id", "cell"]).withColumn("shard", F.pmod(F.xxhash64("key"), "n_shards").cast("int"))
+    graphs = graphs.select(*keys, "key", "vector").repartition(max(1, 4 * (n_shards or 0)), *keys)
+    schema = "group_id string, cell int, shard int, key long, vector array<float>, node int, edges array<int>, entry boolean"
+    graphs = stored(graphs.groupBy(*keys).applyInPandas(partial(_build, degree=degree, beam=beam), schema), "graphs")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = graphs.join(F.broadcast(told), "group_id").withColumn("part", each("n_parts")).repartition(max(1, 4 * n_tasks), *keys)
-    right = dealt.select("group_id", "part", "key", "vector", each("n_shards").alias("shard")).repartition(max(1, 4 * n_tasks), *keys)
+    keys = [*keys, "part"]
+    left = graphs.join(told, ["group_id", "cell"]).withColumn("part", each("n_parts")).repartition(max(1, 4 * (n_tasks or 0)), *keys)
+    right = routed.select("group_id", "key", "vector", F.explode("near").alias("cell")).join(told, ["group_id", "cell"])
+    right = right.withColumn("part", F.pmod(F.xxhash64("key", F.lit(1)), "n_parts").cast("int")).select("group_id", "cell", "part", "key", "vector", each("n_shards").alias("shard"))
+    right = right.repartition(max(1, 4 * (n_tasks or 0)), *keys)
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(partial(_query, k=k, beam=beam), "key long, other long, cosine double")
     top = Window.partitionBy("key").orderBy(F.desc("cosine"), "other")
     links = found.withColumn("r", F.row_number().over(top)).where(F.col("r") <= k).drop("r")
 
     # copies: the first k + 1 of each class stand for it towards others
-    classes = reps.where("copies > 1").select("group_id", "vector", F.col("key").alias("rep"), "copies")
-    members = rows.join(classes, ["group_id", "vector"]).select("key", "rep", "copies")
+    classes = reps.where("copies > 1").select("group_id", "h1", "h2", F.col("vector").alias("v"), F.col("key").alias("rep"), "copies")
+    members = rows.join(classes, ["group_id", "h1", "h2"]).where(F.col("vector") == F.col("v")).select("key", "rep", "copies")
     firsts = members.withColumn("nth", F.row_number().over(Window.partitionBy("rep").orderBy("key"))).where(F.col("nth") <= k + 1)
     inside = members.join(firsts.select("rep", F.col("key").alias("other")), "rep").where("key <> other")
     inside = inside.select("key", "other", F.lit(1.0).cast("double").alias("cosine"))
