@@ -266,8 +266,8 @@ def _may_close(kind: str, text: str, opener: Node, m: re.Match[str]) -> bool:
     inner = text[opener.mid : m.start()]
     if not inner or "\n\n" in inner:
         return False
-    if kind == "l_math":
-        return "\n" not in inner and len(inner) <= 200
+    if kind == "l_math":  # a display formula may go over lines, though not over a blank one
+        return m.group() == "$$" or "\n" not in inner
     if kind in ("m_code", "w_quotes"):
         return True
     return not inner[0].isspace() and not inner[-1].isspace()
@@ -388,25 +388,66 @@ _DROPPED = {"cite", "citep", "citet", "ref", "eqref", "label", "includegraphics"
 _HEADS = {"section": 1, "chapter": 1, "title": 1, "subsection": 2, "subsubsection": 3, "paragraph": 4}
 
 
-def _in_formula(nodes: list[Node], n: Node) -> bool:
+#: Commands and environments whose source is a formula, wherever they stand.
+_FORMULA_COMMANDS = set("frac dfrac tfrac sqrt binom overline underline hat bar vec tilde dot mathbf mathrm mathcal mathbb mathit operatorname".split()) - {"underline"}
+_FORMULA_ENVS = re.compile(r"\{(?:equation|align|gather|multline|eqnarray|math|displaymath)\*?\}")
+_TABLE_ENVS = re.compile(r"\{(?:tabular|tabularx|array|longtable)\*?\}")
+_COMMAND = re.compile(r"~?\\([A-Za-z]+)")
+
+
+def _is_formula(text: str, n: Node) -> bool:
+    if n.kind in _MATH:
+        return True
+    token = text[n.start : n.mid]
+    if n.kind == "l_command":
+        return _COMMAND.match(token).group(1) in _FORMULA_COMMANDS
+    return n.kind == "l_env" and n.paired and bool(_FORMULA_ENVS.search(token))
+
+
+def _in_formula(text: str, nodes: list[Node], n: Node) -> bool:
     while n.parent >= 0:
         n = nodes[n.parent]
-        if n.taken and n.kind in _MATH:
+        if n.taken and _is_formula(text, n):
             return True
     return False
 
 
+def _group_end(text: str, at: int) -> int:
+    """The end of the brace group that opens at `at`; `at` itself where none does, or it never closes."""
+    if text[at : at + 1] != "{":
+        return at
+    depth = 0
+    for m in re.finditer(r"\\[{}]|[{}]", text[at:]):
+        depth += {"{": 1, "}": -1}.get(m.group(), 0)
+        if depth == 0:
+            return at + m.end()
+    return at
+
+
+def _heading(text: str, n: Node, level: int) -> tuple[str, str]:
+    """What opens and closes a heading of its own line."""
+    before, after = text[: n.start].rstrip(" \t"), text[n.end :].lstrip(" \t")
+    return ("" if not before or before.endswith("\n") else "\n") + "#" * level + " ", "" if not after or after.startswith("\n") else "\n"
+
+
 def clean(text: str, nodes: list[Node]) -> str:
-    """text without its taken markup. Headings keep one '#' per level, list items a dash, code its fence, formulas their source."""
+    """text without its taken markup; unchanged where none is taken.
+
+    Headings stand on lines of their own with one '#' per level, list items get a dash, code its fence (one, for code
+    within preformatted text), table cells a bar; formulas keep their source, a link keeps its text.
+    """
+    if not any(n.taken for n in nodes):
+        return text
     edits: list[tuple[int, int, str]] = []
     for n in nodes:
-        if not n.taken or _in_formula(nodes, n):
+        if not n.taken or _in_formula(text, nodes, n):
             continue
         token, inner, name = text[n.start : n.mid], text[n.mid : n.close], ""
+        start, mid = n.start, n.mid
         if n.kind == "h_tag":
             name = re.match(r"</?([A-Za-z0-9:-]+)", token).group(1).lower()
         opening, closing = "", ""
-        if n.kind in ("m_fence", "m_bullet", "m_heading", "m_row", "m_separator") or n.kind in _MATH:
+        if n.kind in ("m_fence", "m_bullet", "m_heading", "m_row", "m_separator") or _is_formula(text, n):
             continue  # these are the structure that is kept
         if n.kind in ("h_comment", "h_raw", "h_doctype", "w_magic", "m_define", "w_row"):
             opening = ""
@@ -419,7 +460,11 @@ def clean(text: str, nodes: list[Node]) -> str:
         elif name in ("p", "div", "br", "tr", "ul", "ol", "table"):
             opening = closing = "\n"
         elif name in ("pre", "code") and n.paired and "\n" in inner:
-            opening = closing = "\n```\n"
+            up = n.parent
+            while up >= 0 and not (nodes[up].taken and nodes[up].kind == "h_tag" and re.match(r"<(?:pre|code)\b", text[nodes[up].start :], re.I)):
+                up = nodes[up].parent
+            if up < 0:
+                opening, closing = "\n```\n", "\n```\n"
         elif name in ("td", "th"):
             closing = " | "
         elif n.kind == "w_template" and n.paired:
@@ -437,7 +482,9 @@ def clean(text: str, nodes: list[Node]) -> str:
         elif n.kind == "m_auto":
             opening = token[1:-1]
         elif n.kind == "w_heading" and token.strip():
-            opening = "#" * len(token.strip()) + " " if n.start == 0 or text[n.start - 1] == "\n" else ""
+            if n.start == 0 or text[n.start - 1] == "\n":
+                opening = "#" * len(token.strip()) + " "
+                mid += len(text[mid:]) - len(text[mid:].lstrip(" \t"))
         elif n.kind == "w_cell":
             opening = "| "
         elif n.kind == "m_escape" or n.kind == "l_escape":
@@ -449,20 +496,29 @@ def clean(text: str, nodes: list[Node]) -> str:
         elif n.kind == "l_bare":
             opening = token if token[1:] in LATEX_NAMES and token[1:] not in ("maketitle", "centering", "noindent", "hline", "par", "it", "bf", "em") else ""
         elif n.kind == "l_command":
-            command = re.match(r"~?\\([A-Za-z]+)", token).group(1)
+            command = _COMMAND.match(token).group(1)
+            if command == "href" and n.paired and _group_end(text, n.end) > n.end:
+                stop = _group_end(text, n.end)
+                edits += [(n.start, n.end + 1, ""), (stop - 1, stop, "")]
+                continue
             if command in _DROPPED and n.paired:
                 edits.append((n.start, n.end, ""))
                 continue
             if command in _HEADS:
-                opening, closing = "#" * _HEADS[command] + " ", ""
+                opening, closing = _heading(text, n, _HEADS[command])
+                if closing:
+                    edits.append((n.close, n.end + len(text[n.end :]) - len(text[n.end :].lstrip(" \t")), closing))
+                    edits.append((start, mid, opening))
+                    continue
             elif command == "footnote":
                 opening, closing = "(", ")"
-        elif n.kind == "l_env":
-            if re.search(r"\{(?:equation|align|math|displaymath)", token) and n.paired:
-                opening, closing = "\\[", "\\]"
+        elif n.kind == "l_env" and _TABLE_ENVS.search(token):
+            mid = _group_end(text, mid)
+            if token.startswith("\\begin") and n.paired:
+                edits += [(n.mid + m.start(), n.mid + m.end(), " | ") for m in re.finditer(r"[ \t]*(?<!\\)&[ \t]*", inner) if n.mid + m.start() >= mid]
         elif n.kind == "m_underline" and "=" in token:
             opening = ""
-        edits.append((n.start, n.mid, opening))
+        edits.append((start, mid, opening))
         if n.paired and n.end > n.close:
             edits.append((n.close, n.end, closing))
     out, at = [], 0
@@ -528,10 +584,16 @@ def _cleaned(frames: Iterator[pd.DataFrame], model: Boosted) -> Iterator[pd.Data
 
 
 def cleaned(blocks: DataFrame, model: Boosted) -> DataFrame:
-    """(block_no, clean_text, clean_rows) of every block; code and record blocks unchanged, nulls stay null."""
+    """(block_no, clean_text, clean_rows) of every block; code and record blocks unchanged, nulls stay null.
+
+    Blocks without any character that markup could use are passed through on the JVM; only the others go to Python.
+    """
     rows = blocks.select("block_no", "kind", "text", "table_rows")
     no = dict(rows.dtypes)["block_no"]
-    return rows.mapInPandas(partial(_cleaned, model=model), f"block_no {no}, clean_text string, clean_rows array<array<string>>")
+    cells = F.exists("table_rows", lambda r: F.exists(r, lambda c: c.rlike(_SUSPECT)))
+    suspect = (F.coalesce(F.col("text").rlike(_SUSPECT), F.lit(False)) | F.coalesce(cells, F.lit(False))) & ~F.coalesce(F.col("kind").isin("code", "record"), F.lit(False))
+    done = rows.where(suspect).mapInPandas(partial(_cleaned, model=model), f"block_no {no}, clean_text string, clean_rows array<array<string>>")
+    return done.unionByName(rows.where(~suspect).select("block_no", F.col("text").alias("clean_text"), F.col("table_rows").alias("clean_rows")))
 
 
 @lru_cache(maxsize=2)

@@ -72,3 +72,23 @@ def test_table(spark, model):
     clean = {r["block_no"]: r for r in markup.cleaned(df, model).collect()}
     assert clean[2]["clean_text"] == "<b>" and clean[3]["clean_rows"] == [None, [None, "x and y"]] and clean[3]["clean_text"] is None and clean[1]["clean_text"] == "a b"
     assert markup.residue(df.limit(0), model).count() == 0
+
+
+@pytest.mark.parametrize(("text", "want"), [
+    ("<pre><code>a = 1\nb = 2</code></pre>", "```\na = 1\nb = 2\n```"),
+    ("the ratio \\frac{a}{b} grows", "the ratio \\frac{a}{b} grows"),
+    ("see \\href{https://x.example/}{the \\emph{long} report} now", "see the long report now"),
+    ("\\begin{tabular}{ll}\na & b \\\\\nc & d\n\\end{tabular}", "a | b\n\nc | d"),
+    ("\\section{Results} We \\emph{found} it", "# Results\nWe found it"),
+    ("== Plot ==\nA [[city|town]] sleeps", "## Plot\nA town sleeps"),
+    ("As $$\n\\frac{a}{b} + \\sqrt{c}\n$$ shows, \\emph{indeed}", "As $$\n\\frac{a}{b} + \\sqrt{c}\n$$ shows, indeed"),
+    ("<ul><li>one</li><li><b>two</b></li></ul>", "- one\n\n- two"),
+    ("<table><tr><td>a</td><td>b</td></tr></table>", "a | b |"),
+    ("an <em>open tag and a &nbsp;space", "an open tag and a \xa0space"),
+    ("''slanted'' with {{cite|x={{y}}}} gone", "slanted with  gone"),
+    ("trailing blanks   \n\n\n\nstay where there is no markup", "trailing blanks   \n\n\n\nstay where there is no markup"),
+    ("", ""),
+])
+def test_clean_structure(text, want, model):
+    assert markup.clean(text, markup.analyse(text, "prose", model)).strip() == want.strip()
+    assert markup.clean(text, []) == text
