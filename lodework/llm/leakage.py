@@ -11,7 +11,7 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pandas as pd
@@ -124,18 +124,31 @@ def _stretches(where: list[int], size: int, length: int) -> Iterator[tuple[int,
     yield max(0, lo), min(length, hi)
 
 
-def leaks(documents: DataFrame, queries: DataFrame, n: int = 6, doc_key: str = "doc_id", doc_text: str = "text") -> DataFrame:
+#: Words of test passages that one pass over the corpus holds in every task.
+PASS_WORDS = 5_000_000
+
+
+def leaks(documents: DataFrame, queries: DataFrame, n: int = 6, doc_key: str = "doc_id", doc_text: str = "text", pass_words: int = PASS_WORDS) -> DataFrame:
     """One row per document and test item that share an n-gram: score, similarity, longest_run, passage_words.
 
-    queries (query_id, passage) is the held-out set, a stated and fixed query set that the driver reads; the corpus is
-    only ever streamed. similarity is the alignment's score over that of the whole passage: edited and paraphrased
+    queries (query_id, passage) is the held-out set; the corpus is only ever streamed. Passages are held in memory, at
+    most about pass_words words at once: a larger set is dealt out over several passes of the corpus, equal passages to
+    one. similarity is the alignment's score over that of the whole passage: edited and paraphrased
     copies keep a high one though longest_run is short. Null, blank and short (under n words) passages and texts give no row; equal
     passages give a row per query_id; a document key that occurs twice is looked at twice.
     """
-    spark = documents.sparkSession
-    grams = Grams([(r["query_id"], r["passage"]) for r in queries.select("query_id", "passage").distinct().collect()], n)
+    held = queries.select(F.col("query_id").cast("long").alias("query_id"), "passage").where("passage is not null and query_id is not null").distinct()
+    size = held.agg(F.sum(F.regexp_count("passage", F.lit(r"(?U)[\p{L}\p{N}]+")))).first()[0] or 0
+    passes = max(1, -(-size // pass_words))
     docs = documents.select(F.col(doc_key).alias("doc_key"), F.col(doc_text).alias("doc_text"))
     kind = dict(docs.dtypes)["doc_key"]
-    marked = docs.mapInPandas(partial(_mark, grams=grams), f"doc_key {kind}, doc_text string")
     schema = f"doc_id {kind}, query_id long, score int, similarity double, longest_run int, passage_words int"
-    return marked.repartition(spark.sparkContext.defaultParallelism * 2).mapInPandas(partial(_align, grams=grams), schema)
+    # the documents left are few and costly: they are dealt out over all cores, and over more tasks the larger the corpus is
+    spread = max(2 * documents.sparkSession.sparkContext.defaultParallelism, docs.rdd.getNumPartitions() // 8)
+    found = []
+    for i in range(passes):
+        own = held.where(F.pmod(F.xxhash64(F.lower("passage")), F.lit(passes)) == i) if passes > 1 else held
+        grams = Grams([(r["query_id"], r["passage"]) for r in own.collect()], n)
+        marked = docs.mapInPandas(partial(_mark, grams=grams), f"doc_key {kind}, doc_text string")
+        found.append(marked.repartition(spread).mapInPandas(partial(_align, grams=grams), schema))
+    return reduce(DataFrame.unionByName, found)

@@ -1,8 +1,8 @@
 """Mixing sources to target weights: exact shares, capped repeats, and a Pfair interleaving.
 
 Every source gets release times and deadlines for its blocks from its weight, and earliest-deadline-first among the
-released blocks decides which source fills a slot. Weights are whole parts of PERIOD, so after PERIOD slots every
-source has had exactly its part and the schedule starts anew: one period, computed on the driver, serves any size.
+released blocks decides which source fills a slot. Weights are whole parts of a period, so after a period every source
+has had exactly its part and the schedule starts anew: one period, computed on the driver, serves any size.
 """
 
 from __future__ import annotations
@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from lodework.session import stored
 
-#: Parts into which the total weight is divided: shares are exact to one part, the slot table has as many rows.
-PERIOD = 10_000
+#: Fewest parts into which the total weight is divided (shares are exact to one part), and most: the slot table has as many rows.
+PERIOD, LONGEST = 10_000, 2_000_000
 #: How the vocabulary file's tokenizer splits text before merging (a fixed value of that vocabulary).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _CACHE_LIMIT = 1_000_000
@@ -70,8 +70,20 @@ def token_counts(documents: DataFrame, sources: list[str], vocabulary: str) -> D
     return rows.mapInPandas(partial(_count, vocabulary=vocabulary), f"doc_id {kind}, source string, n_tokens long")
 
 
-def whole_parts(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:
+def period_of(weights: dict[str, float]) -> int:
+    """Parts of a period in which the least weight still has one of its own (and no source more than its due by rounding)."""
+    total, least = sum(weights.values()), min(weights.values())
+    period = max(PERIOD, math.ceil(total / least), 2 * len(weights))
+    if period > LONGEST:
+        raise ValueError(f"a share of {least / total:.1e} of the whole is below 1 / {LONGEST}")
+    return period
+
+
+def whole_parts(weights: dict[str, float], period: int | None = None) -> dict[str, int]:
     """Weights as whole parts of the period, by largest remainder; a positive weight gets at least one part."""
+    period = period or period_of(weights)
+    if len(weights) > period:
+        raise ValueError("a period must have a part for every source")
     total = sum(weights.values())
     exact = {k: w / total * period for k, w in weights.items()}
     parts = {k: max(1, math.floor(x)) for k, x in exact.items()}
@@ -79,8 +91,13 @@ def whole_parts(weights: dict[str, float], period: int = PERIOD) -> dict[str, in
     left = period - sum(parts.values())
     for i in range(left):
         parts[order[i % len(order)]] += 1
-    while sum(parts.values()) > period:
-        parts[max(parts, key=lambda k: (parts[k], k))] -= 1
+    over = [(-(parts[k] - exact[k]), k) for k in parts if parts[k] > 1]
+    heapq.heapify(over)
+    for _ in range(-left):  # parts given to the smallest are taken where most is over
+        d, k = heapq.heappop(over)
+        parts[k] -= 1
+        if parts[k] > 1:
+            heapq.heappush(over, (d + 1, k))
     return parts
 
 
@@ -182,8 +199,8 @@ class Mixture:
         rows = rows.withColumn("pass_no", F.explode(F.sequence(F.lit(0).cast("long"), F.col("uses") - 1)))
         rows = rows.withColumn("position", F.col("pass_no") * F.col("have") + F.col("before"))
         rows = rows.withColumn("block_no", F.floor(F.col("position") / block_tokens))
-        rows = rows.withColumn("nth", F.col("block_no") % F.col("parts")).join(F.broadcast(slots), ["source", "nth"])
-        slot = F.floor(F.col("block_no") / F.col("parts")) * F.lit(PERIOD) + F.col("period_slot")
+        rows = rows.withColumn("nth", F.col("block_no") % F.col("parts")).join(slots, ["source", "nth"])
+        slot = F.floor(F.col("block_no") / F.col("parts")) * F.lit(sum(parts.values())) + F.col("period_slot")
         self.rows = rows.select(slot.alias("slot"), "source", "block_no", "doc_id", "pass_no", "position", "n_tokens")
 
     @property

@@ -159,6 +159,12 @@ def test_pfair_lag_is_below_one_block():
 def test_whole_parts():
     assert sum(mixing.whole_parts({"a": 1, "b": 1, "c": 1}, 100).values()) == 100
     assert mixing.whole_parts({"a": 1e-9, "b": 1}, 100) == {"a": 1, "b": 99}
+    small = mixing.whole_parts({"a": 1, "b": 99_999})
+    assert small == {"a": 1, "b": 99_999} and mixing.whole_parts({"a": 0.5, "b": 0.5}) == {"a": 5000, "b": 5000}
+    many = mixing.whole_parts({f"s{i}": 1 + i % 3 for i in range(12_000)})
+    assert min(many.values()) >= 1 and len(mixing.pfair(many)) == sum(many.values())
+    with pytest.raises(ValueError, match="share"):
+        mixing.whole_parts({"a": 1e-12, "b": 1})
 
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -268,3 +274,12 @@ def test_chunks_move_along_with_insertions():
     x = {a[i:j] for i, j in spans.chunks(a, c)}
     y = {b[i:j] for i, j in spans.chunks(b, c)}
     assert len(x & y) > 0.9 * len(x)
+
+
+def test_leaks_in_several_passes(spark):
+    words = [f"w{i}" for i in range(400)]
+    passages = [(i, " ".join(words[i * 20 : i * 20 + 20])) for i in range(12)] + [(50, " ".join(words[:20])), (51, None), (52, "too short")]
+    docs = [(i, f"lead in {p} tail") for i, p in passages if p] + [(99, None), (98, "nothing of it here at all")]
+    d, q = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(passages, "query_id long, passage string")
+    rows = lambda **k: sorted(tuple(r) for r in leakage.leaks(d, q, **k).collect())
+    assert rows() == rows(pass_words=40) and len(rows()) == 15
