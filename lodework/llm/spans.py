@@ -15,7 +15,7 @@ from functools import partial
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodework.session import stored
@@ -137,8 +137,8 @@ def _windows(frames: Iterator[pd.DataFrame], c: Cutting) -> Iterator[pd.DataFram
         for d, doc, a, e, text in zip(f["digest"], f["doc_id"], f["start"], f["end"], f["text"], strict=True):
             for t in range(max(0, c.least_run - (len(text) - a)), min(a, c.least_run - (e - a)) + 1):
                 k = digest(f"{d}:{t}:{text[a - t : a - t + c.least_run]}".encode("utf-8", "surrogatepass"))
-                out.append((k - 2**64 if k >= 2**63 else k, doc, a, e))
-        yield pd.DataFrame(out, columns=["digest", "doc_id", "start", "end"])
+                out.append((k - 2**64 if k >= 2**63 else k, doc, a, e, a - t))
+        yield pd.DataFrame(out, columns=["digest", "doc_id", "start", "end", "at"])
 
 
 def common_prefix(a: str, b: str) -> int:
@@ -200,8 +200,14 @@ class SharedSpans:
         rows = found.join(shared.select("digest", "n"), "digest").join(copies, "doc_id", "left_anti")
         rows = stored(rows, "shared")
         few = rows.where(F.col("n") <= hot).drop("n")
-        many = rows.where(F.col("n") > hot).drop("n").join(docs, "doc_id").mapInPandas(partial(_windows, c=c), schema)
-        pairs = self._pairs(few).unionByName(self._pairs(many))
+        self.windows = rows.where(F.col("n") > hot).drop("n").join(docs, "doc_id").mapInPandas(partial(_windows, c=c), f"{schema}, at int")
+        self.few_runs = self._runs(self._pairs(few))
+        self.runs = self._runs(self._pairs(few).unionByName(self._pairs(self.windows)))
+
+    def _runs(self, pairs: DataFrame) -> DataFrame:
+        """Longest runs of at least least_run characters around the chunks that two texts share."""
+        docs, c = self.docs, self.c
+        kind = dict(docs.dtypes)["doc_id"]
         spans = pairs.groupBy("doc_a", "doc_b", "shift").agg(F.collect_set(F.struct("start", "end")).alias("x"))
         spans = spans.select("doc_a", "doc_b", "shift", F.explode(_islands("x")).alias("x"))
         spans = spans.select("doc_a", "doc_b", F.col("x.start").alias("start_a"), (F.col("x.start") - F.col("shift")).alias("start_b"), (F.col("x.end") - F.col("x.start")).alias("length"))
@@ -213,7 +219,7 @@ class SharedSpans:
                 f"left_{side}": F.substr("t", start - back + 1, back), f"right_{side}": F.substr("t", stop + 1, F.lit(c.reach)),
             }).drop("t")
         grown = spans.mapInPandas(_extend, f"doc_a {kind}, doc_b {kind}, start_a int, start_b int, length int")
-        self.runs = grown.where(F.col("length") >= c.least_run).distinct()
+        return grown.where(F.col("length") >= c.least_run).distinct()
 
     @staticmethod
     def _pairs(rows: DataFrame) -> DataFrame:
@@ -235,20 +241,31 @@ class SharedSpans:
         return pairs.distinct()
 
     def shared_portion(self) -> DataFrame:
-        """Per document that shares a run: class_id, n_chars, shared_chars, shared_portion, and its number of links.
+        """Per document that shares a run: class_id, n_chars, shared_chars, shared_portion, links.
 
-        links counts the representatives linked to its class and the other members of the class.
+        Passages in at most `hot` texts are extended pair by pair; of commoner ones every window of least_run characters
+        that a second text holds is counted, so a passage in n texts costs n rows for each of its windows and no pair.
+        links is the number of other texts with which a run of the first kind is shared, or of those that hold the
+        commonest window where that is more, and the other members of the class.
         """
-        r = self.runs
-        sides = r.select(F.col("doc_a").alias("class_id"), F.col("start_a").alias("start"), (F.col("start_a") + F.col("length")).alias("end"), F.col("doc_b").alias("other")).unionByName(
-            r.select(F.col("doc_b").alias("class_id"), F.col("start_b").alias("start"), (F.col("start_b") + F.col("length")).alias("end"), F.col("doc_a").alias("other"))
-        )
+        r, most = self.few_runs, self.c.least_run
+        a = r.select(F.col("doc_a").alias("class_id"), F.col("start_a").alias("start"), (F.col("start_a") + F.col("length")).alias("end"), F.col("doc_b").alias("other"))
+        b = r.select(F.col("doc_b").alias("class_id"), F.col("start_b").alias("start"), (F.col("start_b") + F.col("length")).alias("end"), F.col("doc_a").alias("other"))
+        sides = a.unionByName(b)
         linked = sides.groupBy("class_id").agg(F.countDistinct("other").alias("linked"))
-        spans = sides.groupBy("class_id", "start").agg(F.max("end").alias("end")).groupBy("class_id").agg(F.collect_list(F.struct("start", "end")).alias("x"))
-        covered = spans.select("class_id", F.aggregate(_islands("x"), F.lit(0), lambda s, x: s + x["end"] - x["start"]).alias("covered"))
+        held = stored(self.windows.select("digest", F.col("doc_id").alias("class_id"), "at").distinct(), "windows")
+        of = held.select("digest", "class_id").distinct().groupBy("digest").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1")
+        common = held.join(of, "digest").groupBy("class_id", F.col("at").alias("start")).agg(F.max("texts").alias("texts"))
+        spans = sides.select("class_id", "start", "end", F.lit(0).cast("long").alias("texts")).unionByName(common.select("class_id", "start", (F.col("start") + most).alias("end"), "texts"))
+        spans = spans.groupBy("class_id", "start").agg(F.max("end").alias("end"), F.max("texts").alias("texts"))
+        # a position is covered once: a span counts from where all earlier ones of its text end
+        before = F.max("end").over(Window.partitionBy("class_id").orderBy("start").rowsBetween(Window.unboundedPreceding, -1))
+        spans = spans.withColumn("free", F.greatest("start", F.coalesce(before, F.lit(0))))
+        covered = spans.groupBy("class_id").agg(F.sum(F.greatest(F.col("end") - F.col("free"), F.lit(0))).cast("int").alias("covered"), F.max("texts").alias("texts"))
         sizes = self.classes.groupBy("class_id").agg((F.count(F.lit(1)) - 1).alias("copies"))
-        docs = self.docs.select("doc_id", F.length("text").alias("n_chars")).join(self.classes.select("doc_id", "class_id"), "doc_id", "left")
+        docs = self.docs.select("doc_id", F.length("text").alias("n_chars")).join(self.classes.select("doc_id", "class_id"), "doc_id", "left").distinct()
         docs = docs.withColumn("class_id", F.coalesce("class_id", "doc_id"))
         out = docs.join(covered, "class_id", "left").join(linked, "class_id", "left").join(sizes, "class_id", "left").where("covered is not null or copies is not null")
         chars = F.when(F.col("copies").isNotNull(), F.col("n_chars")).otherwise(F.col("covered"))
-        return out.select("doc_id", "class_id", "n_chars", chars.alias("shared_chars"), (chars / F.col("n_chars")).alias("shared_portion"), (F.coalesce("linked", F.lit(0)) + F.coalesce("copies", F.lit(0))).alias("links"))
+        others = F.greatest(F.coalesce("linked", F.lit(0)), F.coalesce(F.col("texts") - 1, F.lit(0)))
+        return out.select("doc_id", "class_id", "n_chars", chars.alias("shared_chars"), (chars / F.col("n_chars")).alias("shared_portion"), (others + F.coalesce("copies", F.lit(0))).alias("links"))

@@ -245,6 +245,17 @@ def corpus(seed):
     return docs
 
 
+def covered(docs, key, least):
+    """Characters of a text that lie in a window of `least` characters which another text holds."""
+    text, others = docs[key], [t for k, t in docs.items() if k != key and t]
+    held = {t[i : i + least] for t in others for i in range(len(t) - least + 1)}
+    places = set()
+    for i in range(len(text) - least + 1):
+        if text[i : i + least] in held:
+            places.update(range(i, i + least))
+    return len(places)
+
+
 @pytest.mark.parametrize("hot", [1, 64])
 def test_pairs_against_brute_force(spark, hot):
     docs = corpus(3)
@@ -256,6 +267,7 @@ def test_pairs_against_brute_force(spark, hot):
     portion = {r["doc_id"]: r for r in s.shared_portion().collect()}
     assert set(portion) == {x for p in got for x in p} and portion[80]["shared_portion"] == 1.0 and portion[80]["class_id"] == 1
     assert all(300 <= r["shared_chars"] <= r["n_chars"] for r in portion.values())
+    assert {d: r["shared_chars"] for d, r in portion.items()} == {d: covered(docs, d, 300) for d in portion}
 
 
 def test_nothing_shared(spark):
