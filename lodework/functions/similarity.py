@@ -33,6 +33,8 @@ def jaro_winkler_of(a: str, b: str) -> float:
     other = [c for c, u in zip(b, used, strict=True) if u]
     swaps = sum(x != y for x, y in zip(seen, other, strict=True)) // 2
     jaro = (k / n + k / m + (k - swaps) / k) / 3
+    if jaro <= 0.7:  # a common beginning counts for names that are alike at all
+        return jaro
     prefix = 0
     for x, y in zip(a[:4], b[:4], strict=False):
         if x != y:

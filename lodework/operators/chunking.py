@@ -273,3 +273,19 @@ def clean_wiki(c: Column) -> Column:
     for n in (4, 3, 2):
         s = F.regexp_replace(s, rf"(?m)^={{{n}}} *([^=\n]+?) *={{{n}}}$", "#" * n + " $1")
     return F.trim(F.regexp_replace(s, r"\n{3,}", "\n\n"))
+
+
+def paragraphs(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc, pos, section, body, tokens): paragraphs between blank lines, each with the heading above it.
+
+    The plain way of segmenting: heading lines are cut points, nothing else is told apart. In built-in expressions only:
+    the text is cut before every heading line, so a part is a heading and what stands under it.
+    """
+    marked = F.regexp_replace(F.concat(F.lit("\n"), F.col(text)), r"\n(#{1,6}[ \t]+\S)", "\u0001$1")
+    parts = docs.where(F.trim(F.col(text)) != "").select(F.col(doc).alias("doc"), F.posexplode(F.split(marked, "\u0001")).alias("part", "t"))
+    heading = F.regexp_extract("t", r"^#{1,6}[ \t]+(\S[^\n]*)", 1)
+    parts = parts.select("doc", "part", F.when(heading != "", F.rtrim(heading)).alias("section"), F.when(heading != "", F.regexp_replace("t", r"^[^\n]*\n?", "")).otherwise(F.col("t")).alias("t"))
+    rows = parts.select("doc", "part", "section", F.posexplode(F.split("t", r"\n[ \t]*\n")).alias("nth", "body"))
+    rows = rows.withColumn("body", F.regexp_replace("body", r"^\s+|\s+$", "")).where("body <> ''")
+    pos = F.row_number().over(Window.partitionBy("doc").orderBy("part", "nth")) - 1
+    return rows.select("doc", pos.alias("pos"), "section", "body", tx.token_count(F.col("body")).alias("tokens"))

@@ -52,18 +52,54 @@ def rank_communities(labels: DataFrame, edges: DataFrame) -> DataFrame:
     return rows.withColumn("density", F.round(F.col("internal_edges") / F.col("members"), 4))
 
 
-def reports(labels: DataFrame, ranked: DataFrame, adjacent: DataFrame, names: DataFrame) -> DataFrame:
-    """Extractive reports: (tenant_id, community, title, summary, members). The title names the two best connected."""
+#: Relations a report tells, members it lists and names in its title (fixed values of the report).
+TOLD_RELATIONS, TOLD_MEMBERS = 6, 15
+
+
+def reports(labels: DataFrame, ranked: DataFrame, adjacent: DataFrame, names: DataFrame, edges: DataFrame | None = None) -> DataFrame:
+    """Extractive reports: (tenant_id, community, title, summary, members). The title names the two best connected.
+
+    With edges, the first six relations inside the community (by source, type, target) are told.
+    """
     degree = adjacent.groupBy("tenant_id", F.col("x").alias("entity_id")).agg(F.count(F.lit(1)).alias("degree"))
     n = names.groupBy("tenant_id", "entity_id").agg(F.min("entity_name").alias("name"), F.min("label").alias("label"))
     rows = labels.join(ranked.select("tenant_id", "community", "members", "internal_edges"), ["tenant_id", "community"]).join(degree, ["tenant_id", "entity_id"], "left").join(n, ["tenant_id", "entity_id"], "left")
-    name = F.coalesce("name", "entity_id")
+    rows = rows.withColumn("name", F.coalesce("name", "entity_id"))
     w = Window.partitionBy("tenant_id", "community").orderBy(F.desc("degree"), "entity_id")
-    top = rows.withColumn("r", F.row_number().over(w)).where("r <= 15")
-    lists = top.groupBy("tenant_id", "community", "members", "internal_edges").agg(F.sort_array(F.collect_list(F.struct("r", name.alias("name")))).alias("x"))
+    top = rows.withColumn("r", F.row_number().over(w)).where(F.col("r") <= TOLD_MEMBERS)
+    lists = top.groupBy("tenant_id", "community", "members", "internal_edges").agg(F.sort_array(F.collect_list(F.struct("r", "name"))).alias("x"))
     kinds = rows.groupBy("tenant_id", "community", F.coalesce("label", F.lit("Entity")).alias("label")).count()
     kinds = kinds.groupBy("tenant_id", "community").agg(F.sort_array(F.collect_list(F.struct((-F.col("count")).alias("c"), "label"))).alias("k"))
     who = F.transform("x", lambda s: s["name"])
     what = F.array_join(F.transform("k", lambda s: F.concat((-s["c"]).cast("string"), F.lit(" "), s["label"])), ", ")
     out = lists.join(kinds, ["tenant_id", "community"])
-    return out.select("tenant_id", "community", F.substring(F.array_join(F.slice(who, 1, 2), " & "), 1, 80).alias("title"), F.concat(F.lit("A group of "), "members", F.lit(" ("), what, F.lit(") with "), "internal_edges", F.lit(" relations. Members: "), F.array_join(who, ", "), F.lit(".")).alias("summary"), "members")
+    told = F.lit("")
+    if edges is not None:
+        e = edges.where("source_id <> target_id").select("tenant_id", "source_id", F.upper("edge_type").alias("edge_type"), "target_id").distinct()
+        for side in ("source", "target"):
+            e = e.join(rows.select("tenant_id", F.col("entity_id").alias(f"{side}_id"), F.col("name").alias(f"{side}_name"), F.col("community").alias(f"{side}_c")), ["tenant_id", f"{side}_id"])
+        w = Window.partitionBy("tenant_id", "source_c").orderBy("source_id", "edge_type", "target_id")
+        e = e.where("source_c = target_c").withColumn("r", F.row_number().over(w)).where(F.col("r") <= TOLD_RELATIONS)
+        line = F.concat_ws(" ", "source_name", F.lower(F.regexp_replace("edge_type", "_", " ")), "target_name")
+        e = e.groupBy("tenant_id", F.col("source_c").alias("community")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("r", line.alias("line")))), lambda s: s["line"]), "; ").alias("told"))
+        out = out.join(e, ["tenant_id", "community"], "left")
+        told = F.coalesce(F.concat(F.lit(" Key relations: "), "told", F.lit(".")), F.lit(""))
+    summary = F.concat(F.lit("A group of "), "members", F.lit(" ("), what, F.lit(") with "), "internal_edges", F.lit(" relations."), told, F.lit(" Members: "), F.array_join(who, ", "), F.lit("."))
+    return out.select("tenant_id", "community", F.substring(F.array_join(F.slice(who, 1, 2), " & "), 1, 80).alias("title"), summary.alias("summary"), "members")
+
+
+REPORT = "community_report"
+
+
+def report_chunks(told: DataFrame) -> DataFrame:
+    """Reports as chunks, so that a search over chunks finds them: of kind community_report, in a document 'communities'."""
+    return told.select(
+        "tenant_id", F.concat_ws(":", F.lit("community"), "tenant_id", "community").alias("chunk_id"), F.lit("communities").alias("doc"), F.lit(REPORT).alias("kind"),
+        F.concat_ws("\n", "title", "summary").alias("text"), F.concat(F.lit("Community report · "), "title").alias("citation"),
+    )
+
+
+def of_kind(chunks: DataFrame, reports_only: bool, kind: str = "kind") -> DataFrame:
+    """Chunks that are reports, or those that aren't; a chunk of no kind isn't."""
+    is_report = F.coalesce(F.col(kind) == REPORT, F.lit(False))
+    return chunks.where(is_report if reports_only else ~is_report)

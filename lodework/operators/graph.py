@@ -68,7 +68,7 @@ def clamp_depth(depth: int) -> int:
 def traverse(edges: DataFrame, seeds: DataFrame, depth: int = 2, limit: int | None = MOST_NODES, types: list[str] | None = None) -> DataFrame:
     """Nodes within `depth` hops of each seed's query: (query_id, tenant_id, entity_id, hop), undirected, nearest hop.
 
-    Beyond one hop, edges of hub types are left out. An empty list of types gives nothing. Each hop is one equi-join of
+    Beyond one hop, edges of hub types are left out. An empty list of types gives nothing beyond the seeds. Each hop is one equi-join of
     the frontier with the edges; nodes seen before are not expanded again, so a hop costs no more than the edges at its
     frontier. limit keeps the nearest nodes per query by (hop, entity_id).
     """
@@ -85,6 +85,9 @@ def traverse(edges: DataFrame, seeds: DataFrame, depth: int = 2, limit: int | No
         step = frontier.join(both, (frontier["tenant_id"] == both["tenant_id"]) & (frontier["entity_id"] == both["x"])).select("query_id", frontier["tenant_id"], F.col("y").alias("entity_id")).distinct()
         frontier = step.join(seen, ["query_id", "tenant_id", "entity_id"], "left_anti")
         seen = seen.unionByName(frontier.withColumn("hop", F.lit(hop)))
+        if limit is not None and hop < depth:  # nodes further away would be cut off below: such a query needs no further hop
+            full = seen.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= limit)
+            frontier = frontier.join(full, "query_id", "left_anti")
     if limit is None:
         return seen
     w = Window.partitionBy("query_id").orderBy("hop", "entity_id")
@@ -123,6 +126,44 @@ def text_to_graph(hits: DataFrame, mentions: DataFrame, limit: int = EXPANSION_N
     return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
 
 
+def merge_nodes(first: DataFrame, more: DataFrame, most: int = MOST_NODES) -> DataFrame:
+    """Nodes of two subgraphs of the same queries, each once: as in the first where it is in both; the first `most` per query."""
+    rows = first.select("query_id", "tenant_id", "entity_id", "hop").withColumn("part", F.lit(0)).unionByName(more.select("query_id", "tenant_id", "entity_id", "hop").withColumn("part", F.lit(1)))
+    one = rows.groupBy("query_id", "tenant_id", "entity_id").agg(F.min(F.struct("part", "hop")).alias("x"))
+    w = Window.partitionBy("query_id").orderBy("x.part", "x.hop", "entity_id")
+    return one.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).select("query_id", "tenant_id", "entity_id", "x.hop", "x.part", "rank")
+
+
+def merge_edges(first: DataFrame, more: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Distinct edges of two subgraphs both ends of which are among the nodes."""
+    keys = ["query_id", "tenant_id", "source_id", "edge_type", "target_id"]
+    rows = first.select(*keys).unionByName(more.select(*keys)).distinct()
+    ids = nodes.select("query_id", "tenant_id", "entity_id")
+    for side in ("source_id", "target_id"):
+        rows = rows.join(ids.withColumnRenamed("entity_id", side), ["query_id", "tenant_id", side], "left_semi")
+    return rows
+
+
+def expand(hits: DataFrame, edges: DataFrame, mentions: DataFrame, hops: int = 1, limit: int = MOST_CHUNKS) -> DataFrame:
+    """Chunks around the entities of a query's best chunks that it didn't return yet: (query_id, chunk_id, n_entities, rank).
+
+    hits has (query_id, tenant_id, chunk_id, rank). Text to graph, a walk of `hops`, graph to text, less what was returned.
+    """
+    seeds = text_to_graph(hits, mentions).select("query_id", "tenant_id", "entity_id")
+    found = graph_to_text(traverse(edges, seeds, hops), mentions, limit)
+    return found.join(hits.select("query_id", "chunk_id").distinct(), ["query_id", "chunk_id"], "left_anti")
+
+
+def widen(found: DataFrame, wanted: DataFrame, pool: DataFrame, limit: int = 200) -> DataFrame:
+    """Candidates of a query (query_id, tenant_id, entity_id, widened): those found, and where they are fewer than wanted
+    (query_id, tenant_id, n) the first `limit` entities of the tenant that weren't."""
+    have = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("have"))
+    short = wanted.join(have, "query_id", "left").where(F.coalesce("have", F.lit(0)) < F.col("n")).select("query_id", "tenant_id")
+    first = pool.select("tenant_id", "entity_id").distinct().withColumn("r", F.row_number().over(Window.partitionBy("tenant_id").orderBy("entity_id"))).where(F.col("r") <= limit).drop("r")
+    extra = short.join(first, "tenant_id").join(found.select("query_id", "entity_id"), ["query_id", "entity_id"], "left_anti")
+    return found.select("query_id", "tenant_id", "entity_id", F.lit(False).alias("widened")).unionByName(extra.select("query_id", "tenant_id", "entity_id", F.lit(True).alias("widened")))
+
+
 def prune(nodes: DataFrame, edges: DataFrame, keep: int) -> tuple[DataFrame, DataFrame]:
     """The `keep` nodes of a query's subgraph by (seed, degree, id), and the edges that still have both ends."""
     ends = edges.select("query_id", F.explode(F.array("source_id", "target_id")).alias("entity_id")).groupBy("query_id", "entity_id").agg(F.count(F.lit(1)).alias("degree"))

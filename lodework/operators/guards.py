@@ -99,3 +99,46 @@ def battery(spark: SparkSession, payloads: list[tuple[str, str, bool]]) -> DataF
     df = spark.createDataFrame(payloads, "category string, text string, refuse boolean")
     rows = df.withColumn("ok", violation(F.col("text")).isNotNull() == F.col("refuse"))
     return rows.groupBy("category").agg(F.count(F.lit(1)).alias("checks"), F.count_if("ok").alias("passed"))
+
+
+#: Scopes a key can have; the admin scope includes the others.
+SCOPES = ("read", "write", "admin")
+
+
+def access(keys: DataFrame, requests: DataFrame, provisioned: DataFrame) -> DataFrame:
+    """requests (request_id, api_key, claimed, scope) with tenant_id and status, the first that applies:
+
+    401 unknown key, 403 another tenant claimed (but by an admin key) or a scope the key lacks, 404 a tenant that was never
+    provisioned, 200. keys has (api_key, tenant_id, scopes), provisioned has (tenant_id). tenant_id is given with 200 only.
+    """
+    k = keys.select("api_key", F.col("tenant_id").alias("own"), "scopes")
+    rows = requests.join(k, "api_key", "left")
+    admin = F.array_contains("scopes", "admin")
+    target = F.coalesce(F.lower(F.trim("claimed")), F.col("own"))
+    rows = rows.withColumn("target", target).join(provisioned.select(F.col("tenant_id").alias("target"), F.lit(True).alias("is_there")).distinct(), "target", "left")
+    status = (
+        F.when(F.col("own").isNull(), 401)
+        .when((F.col("target") != F.col("own")) & ~admin, 403)
+        .when(~admin & ~F.array_contains("scopes", F.col("scope")), 403)
+        .when(F.col("is_there").isNull(), 404)
+        .otherwise(200)
+    )
+    return rows.select("request_id", F.when(status == 200, F.col("target")).alias("tenant_id"), status.alias("status"))
+
+
+def allowed_types(requested: list[str] | None, schema: list[str], defaults: list[str]) -> list[str]:
+    """The requested edge types that the schema has, in its spelling; the defaults where none is left."""
+    known = {t.upper(): t for t in schema}
+    return [known[t.upper()] for t in dict.fromkeys(requested or []) if t.upper() in known] or list(defaults)
+
+
+#: Bounds of a request (fixed values of the API).
+BOUNDS = {"depth": (1, 3), "top_k": (1, 20), "query": (2, 2000), "content": (10, 1_000_000)}
+
+
+def in_bounds(name: str, value: int) -> int:
+    """value, or GuardError where it is out of the bounds of `name`."""
+    lo, hi = BOUNDS[name]
+    if not lo <= value <= hi:
+        raise GuardError(f"{name} must be between {lo} and {hi}")
+    return value

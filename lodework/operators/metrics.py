@@ -57,6 +57,12 @@ def lift(base: DataFrame, other: DataFrame, metric: str) -> DataFrame:
     )
 
 
+def multi_hop(rows: DataFrame) -> DataFrame:
+    """rows (query_id, requires_multi_hop, a, b) into means of both ways and their difference, apart for multi-hop questions and others."""
+    hop = F.coalesce("requires_multi_hop", F.lit(False)).alias("multi_hop")
+    return rows.groupBy(hop).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("a"), 6).alias("a"), F.round(F.avg("b"), 6).alias("b"), F.round(F.avg("b") - F.avg("a"), 6).alias("advantage"))
+
+
 def gates(values: DataFrame, rules: DataFrame) -> DataFrame:
     """Every rule (name, op, target, hard) against values (name, value): passed is false for a missing value."""
     rows = rules.join(values, "name", "left")

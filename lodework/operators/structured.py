@@ -76,9 +76,13 @@ def profile_columns(records: DataFrame) -> DataFrame:
 
 
 def subject_column(profiles: DataFrame) -> DataFrame:
-    """Per tenant the column that names a row: an entity column, single-valued before multi-valued, leftmost first."""
-    rows = profiles.where("role = 'entity'")
-    best = F.min_by("column", F.struct(F.col("multi_valued").cast("int"), "ordinal", "column"))
+    """Per tenant the column that names a row: an entity column, single-valued before multi-valued, leftmost first.
+
+    Where a tenant has alias columns its leftmost entity column is the subject whatever it holds: the aliases are its names.
+    """
+    told = profiles.groupBy("tenant_id").agg(F.max(F.col("role") == "alias").alias("has_alias"))
+    rows = profiles.where("role = 'entity'").join(told, "tenant_id")
+    best = F.min_by("column", F.struct(F.when(F.col("has_alias"), 0).otherwise(F.col("multi_valued").cast("int")).alias("m"), "ordinal", "column"))
     return rows.groupBy("tenant_id").agg(best.alias("subject"))
 
 
@@ -114,6 +118,20 @@ def verbalize(records: DataFrame, profiles: DataFrame) -> DataFrame:
     return rows.select("record_id", F.array_join(F.transform("x", lambda s: s["line"]), "\n").alias("text"))
 
 
+def aliases(records: DataFrame, profiles: DataFrame) -> DataFrame:
+    """(tenant_id, entity_id, alias): values of alias columns (the name in another language) of the rows a subject names.
+
+    The subject's own name is no alias; cells of several values give several.
+    """
+    roles = profiles.select("tenant_id", "column", "role", "label", "multi_valued")
+    cells = cells_of(records).join(roles, ["tenant_id", "column"]).join(subject_column(profiles), "tenant_id")
+    named = cells.where("column = subject").groupBy("record_id", "tenant_id").agg(F.min_by("value", "ordinal").alias("name"), F.first("label").alias("label"))
+    values = F.when(F.col("multi_valued"), tx.split_values(F.col("value"))).otherwise(F.array("value"))
+    other = cells.where("role = 'alias'").select("record_id", "tenant_id", F.explode(values).alias("alias"))
+    rows = other.join(named, ["record_id", "tenant_id"]).where(F.lower("alias") != F.lower("name"))
+    return rows.select("tenant_id", tx.entity_id(F.col("label"), F.col("name")).alias("entity_id"), "alias").distinct()
+
+
 def last_row(rows: DataFrame, keys: list[str], order: Column) -> DataFrame:
     """The last row per key, as a table that is overwritten key by key would hold it."""
     w = Window.partitionBy(*keys).orderBy(order.desc())

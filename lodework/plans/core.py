@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodework.functions import text as tx
-from lodework.operators import chunking, community, context, extract, graph, guards, metrics, multivalue, proposals, resolve, retrieval, structured, understand
+from lodework.operators import chunking, community, context, extract, graph, guards, matching, metrics, multivalue, proposals, resolve, retrieval, structured, understand
 from lodework.plans import engine
 from lodework.session import kept
 from lodework.streaming import streams
@@ -179,8 +179,9 @@ def _relevant(spark: SparkSession, d: str) -> DataFrame:
 def marker_counts(spark: SparkSession, d: str) -> DataFrame:
     """Documents that contain an expected text of a query, in any case: the held-out markers against every document."""
     q = _queries(spark, d).select(F.explode("expected_text").alias("marker")).distinct()
-    rows = table(spark, d, "documents").select("doc_id", F.lower("text").alias("low")).crossJoin(F.broadcast(q.withColumn("m", F.lower("marker"))))
-    return rows.where(F.contains("low", "m")).groupBy("marker").agg(F.count(F.lit(1)).alias("n"))
+    found = matching.phrases_in(table(spark, d, "documents").select("doc_id", "text"), q.withColumnRenamed("marker", "phrase"))
+    n = found.groupBy("phrase").agg(F.count(F.lit(1)).alias("n"))
+    return q.withColumn("phrase", F.lower("marker")).join(n, "phrase").select("marker", "n")
 
 
 @_query
@@ -266,12 +267,12 @@ def _steps(spark: SparkSession, d: str) -> DataFrame:
 
 @_query
 def telemetry_grid(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.telemetry(_steps(spark, d), ["click", "view", "purchase", "never_run"])
+    return metrics.telemetry(_steps(spark, d), ["click", "view", "purchase", "signup", "error", "never_run"])
 
 
 @_query
 def slowest_requests(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.slowest(_steps(spark, d), 20, ["click", "view", "purchase"])
+    return metrics.slowest(_steps(spark, d), 20, ["click", "view", "purchase", "signup", "error"])
 
 
 # ---------------------------------------------------------------- graph
@@ -393,20 +394,30 @@ def adjacency(spark: SparkSession, d: str) -> DataFrame:
 
 
 @_query
-def communities_2rounds(spark: SparkSession, d: str) -> DataFrame:
-    return community.propagate(_adjacent(spark, d), 2)
+def communities(spark: SparkSession, d: str) -> DataFrame:
+    return community.propagate(_adjacent(spark, d))
+
+
+def _ranked(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    a = _adjacent(spark, d)
+    labels = kept(community.propagate(a))
+    return a, labels, community.rank_communities(labels, table(spark, d, "edges"))
 
 
 @_query
 def communities_ranked(spark: SparkSession, d: str) -> DataFrame:
-    return community.rank_communities(community.propagate(_adjacent(spark, d), 2), table(spark, d, "edges"))
+    return _ranked(spark, d)[2]
 
 
 @_query
 def community_reports(spark: SparkSession, d: str) -> DataFrame:
-    a = _adjacent(spark, d)
-    labels = kept(community.propagate(a))
-    return community.reports(labels, community.rank_communities(labels, table(spark, d, "edges")), a, _vertices(spark, d))
+    a, labels, ranked = _ranked(spark, d)
+    return community.reports(labels, ranked, a, _vertices(spark, d), table(spark, d, "edges"))
+
+
+@_query
+def community_report_chunks(spark: SparkSession, d: str) -> DataFrame:
+    return community.report_chunks(community_reports(spark, d))
 
 
 # ---------------------------------------------------------------- blocks and chunks
@@ -443,7 +454,7 @@ def sibling_links(spark: SparkSession, d: str) -> DataFrame:
 
 @_query
 def table_chunks(spark: SparkSession, d: str) -> DataFrame:
-    return chunking.table_chunks(table(spark, d, "blocks"), 5)
+    return chunking.table_chunks(table(spark, d, "blocks"))
 
 
 @_query
@@ -571,9 +582,10 @@ def context_resolved(spark: SparkSession, d: str) -> DataFrame:
 
 @_query
 def clarifications(spark: SparkSession, d: str) -> DataFrame:
-    words = ["it", "more", "herbs", "other documents", "treatment", "what about that?", "Who directed Inception?"]
-    q = spark.createDataFrame([(i, w) for i, w in enumerate(words)], "query_id long, query_text string")
-    a = understand.analyse(q)
+    """What is asked back for the questions of a conversation that name nothing, where every seventh turn is such a one."""
+    said = F.element_at(F.array(*[F.lit(x) for x in ("it", "more", "herbs", "other documents", "what about that?")]), (F.col("query_id") % 5 + 1).cast("int"))
+    q = _queries(spark, d).select("query_id", F.when(F.col("query_id") % 7 == 0, said).otherwise(F.col("query_text")).alias("query_text"))
+    a = understand.analyse(q).where("reason is not null")
     return a.select("query_id", "reason", "intent", understand.clarification(F.col("reason"), F.col("query_text")).alias("prompt"))
 
 
@@ -638,10 +650,13 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return dict(_ALL)
+    from lodework.plans import extended
+
+    return _ALL | extended.queries()
 
 
 def oracle_sql() -> dict[str, str]:
     from lodework.plans.core_sql import SQL
+    from lodework.plans.extended_sql import SQL as MORE
 
-    return {k: v for k, v in SQL.items() if k in _ALL}
+    return {k: v for k, v in (SQL | MORE).items() if k in queries()}

@@ -85,10 +85,10 @@ SELECT query_id, doc, round(s, 4) AS score, rank FROM r WHERE rank <= 10"""
 _SEEDS = "seeds AS (SELECT DISTINCT query_id, tenant_id, unnest(expected_entities) AS entity_id FROM queries)"
 
 
-def _traverse(depth: int, types: list[str] | None, limit: int | None = 100) -> str:
+def _traverse(depth: int, types: list[str] | None, limit: int | None = 100, seeds: str = _SEEDS) -> str:
     hubs = "AND upper(edge_type) NOT IN ('HAS_ATTRIBUTE', 'ASSOCIATED_WITH')" if depth > 1 else ""
     only = f"AND upper(edge_type) IN {_in(types)}" if types else ""
-    sql = f"""{_SEEDS},
+    sql = f"""{seeds},
 e0 AS (SELECT tenant_id, source_id, target_id FROM edges WHERE source_id <> target_id {hubs} {only}),
 e AS (SELECT DISTINCT tenant_id, source_id AS x, target_id AS y FROM e0 UNION SELECT DISTINCT tenant_id, target_id, source_id FROM e0),
 h0 AS (SELECT query_id, tenant_id, entity_id, 0 AS hop FROM seeds)"""
@@ -110,19 +110,33 @@ _VERTICES = "v AS (SELECT tenant_id, entity_id, entity_name, label FROM entities
 _ADJACENT = _VERTICES + """,
 k AS (SELECT DISTINCT tenant_id, entity_id FROM v),
 e AS (SELECT ed.tenant_id, source_id, target_id FROM edges ed JOIN k a ON a.tenant_id = ed.tenant_id AND a.entity_id = source_id JOIN k b ON b.tenant_id = ed.tenant_id AND b.entity_id = target_id WHERE source_id <> target_id),
-adj AS (SELECT tenant_id, source_id AS x, target_id AS y FROM e UNION SELECT tenant_id, target_id, source_id FROM e)"""
+adj AS MATERIALIZED (SELECT tenant_id, source_id AS x, target_id AS y FROM e UNION SELECT tenant_id, target_id, source_id FROM e)"""
 
 
 def _rounds(n: int) -> str:
-    sql = ",\nl0 AS (SELECT DISTINCT tenant_id, x AS entity_id, x AS community FROM adj)"
+    sql = ",\nl0 AS MATERIALIZED (SELECT DISTINCT tenant_id, x AS entity_id, x AS community FROM adj)"
     for i in range(1, n + 1):
         sql += f""",
-l{i} AS (SELECT tenant_id, entity_id, community FROM (
+l{i} AS MATERIALIZED (SELECT tenant_id, entity_id, community FROM (
   SELECT a.tenant_id, a.x AS entity_id, n.community, count(*) AS n, o.community AS own FROM adj a JOIN l{i - 1} n ON n.tenant_id = a.tenant_id AND n.entity_id = a.y JOIN l{i - 1} o ON o.tenant_id = a.tenant_id AND o.entity_id = a.x GROUP BY ALL)
   QUALIFY row_number() OVER (PARTITION BY tenant_id, entity_id ORDER BY n DESC, community <> own, community) = 1)"""
     return sql
 
 
+_RANKED = f"""{_ADJACENT}{_rounds(12)}, sz AS (SELECT tenant_id, community, count(*) AS members FROM l12 GROUP BY ALL HAVING count(*) >= 3),
+ins AS (SELECT e.tenant_id, a.community, count(*) AS n FROM (SELECT DISTINCT tenant_id, source_id, upper(edge_type), target_id FROM edges WHERE source_id <> target_id) e JOIN l12 a ON a.tenant_id = e.tenant_id AND a.entity_id = source_id JOIN l12 b ON b.tenant_id = e.tenant_id AND b.entity_id = target_id WHERE a.community = b.community GROUP BY ALL),
+ranked AS (SELECT tenant_id, community, members, coalesce(n, 0) AS internal_edges, row_number() OVER (PARTITION BY tenant_id ORDER BY members DESC, community) AS position, round(coalesce(n, 0) / members, 4) AS density FROM sz LEFT JOIN ins USING (tenant_id, community) QUALIFY position <= 200)"""
+_REPORTS = """nm AS (SELECT tenant_id, entity_id, min(entity_name) AS name, min(label) AS label FROM v GROUP BY ALL),
+dg AS (SELECT tenant_id, x AS entity_id, count(*) AS degree FROM adj GROUP BY ALL),
+mem AS (SELECT l.tenant_id, l.entity_id, l.community, members, internal_edges, coalesce(name, l.entity_id) AS name, coalesce(label, 'Entity') AS label, row_number() OVER (PARTITION BY l.tenant_id, l.community ORDER BY degree DESC NULLS LAST, l.entity_id) AS r
+  FROM l12 l JOIN ranked USING (tenant_id, community) LEFT JOIN dg ON dg.tenant_id = l.tenant_id AND dg.entity_id = l.entity_id LEFT JOIN nm ON nm.tenant_id = l.tenant_id AND nm.entity_id = l.entity_id),
+lst AS (SELECT tenant_id, community, members, internal_edges, string_agg(name, ', ' ORDER BY r) FILTER (WHERE r <= 15) AS who, string_agg(name, ' & ' ORDER BY r) FILTER (WHERE r <= 2) AS title FROM mem GROUP BY ALL),
+knd AS (SELECT tenant_id, community, string_agg(n || ' ' || label, ', ' ORDER BY n DESC, label) AS what FROM (SELECT tenant_id, community, label, count(*) AS n FROM mem GROUP BY ALL) GROUP BY ALL),
+tl AS (SELECT a.tenant_id, a.community, a.name || ' ' || lower(replace(d.edge_type, '_', ' ')) || ' ' || b.name AS line, row_number() OVER (PARTITION BY a.tenant_id, a.community ORDER BY source_id, d.edge_type, target_id) AS r
+  FROM (SELECT DISTINCT tenant_id, source_id, upper(edge_type) AS edge_type, target_id FROM edges WHERE source_id <> target_id) d JOIN mem a ON a.tenant_id = d.tenant_id AND a.entity_id = source_id JOIN mem b ON b.tenant_id = d.tenant_id AND b.entity_id = target_id WHERE a.community = b.community),
+ts AS (SELECT tenant_id, community, string_agg(line, '; ' ORDER BY r) AS told FROM tl WHERE r <= 6 GROUP BY ALL),
+rep AS (SELECT tenant_id, community, substr(title, 1, 80) AS title, 'A group of ' || members || ' (' || what || ') with ' || internal_edges || ' relations.' || coalesce(' Key relations: ' || told || '.', '') || ' Members: ' || who || '.' AS summary, members FROM lst JOIN knd USING (tenant_id, community) LEFT JOIN ts USING (tenant_id, community))"""
+
 _CELLS = f"""c0 AS (SELECT record_id, tenant_id, generate_subscripts(cells, 1) - 1 AS ordinal, unnest(cells) AS c FROM records),
 cells_ AS (SELECT record_id, tenant_id, ordinal, c.column_name AS "column", trim(c.cell_value) AS value FROM c0 WHERE c.cell_value IS NOT NULL AND lower(trim(c.cell_value)) NOT IN {_in(tx.NULLS_COLUMN)} AND c.column_name IS NOT NULL)"""
 _SPLIT = r"(?i)\s*[;,/|]\s*|\s+and\s+"
@@ -154,7 +168,8 @@ ot AS (SELECT record_id, tenant_id, "column", role, label, unnest(list_slice(CAS
 bo AS (SELECT * FROM ot JOIN nm USING (record_id, tenant_id))"""
 
 _LEAD, _TRAIL = understand.LEADING, understand.TRAILING
-_ANALYSE = rf"""WITH q0 AS (SELECT query_id, coalesce(query_text, '') AS t FROM queries),
+def _analyse(column: str) -> str:
+    return rf"""WITH q0 AS (SELECT query_id, coalesce({column}, '') AS t FROM queries),
 q1 AS (SELECT *, list_transform(regexp_extract_all(t, '\b[A-Z][a-zA-Z0-9''’\-]*(?:\s+[A-Z][a-zA-Z0-9''’\-]*)*'), lambda p: trim(regexp_replace(regexp_replace(p, {_s(_LEAD)}, ''), {_s(_TRAIL)}, ''))) AS runs0,
   list_filter(regexp_extract_all(t, '[A-Za-z0-9][A-Za-z0-9''’\-]*'), lambda w: length(w) >= 3 AND lower(w) NOT IN {_in(understand.STOP)}) AS words0 FROM q0),
 q2 AS (SELECT *, list_filter(runs0, lambda p: length({_norm('p')}) > 1) AS runs1 FROM q1),
@@ -173,6 +188,9 @@ an AS (SELECT query_id, mentions, identifiers, CASE WHEN h THEN 2 ELSE 1 END AS
   round(CASE WHEN best <= 0 OR round(best - second, 4) < 0.75 THEN 0.4 ELSE least(1.0, best / 4) END, 4) AS confidence, len(mentions) > 0 OR len(identifiers) > 0 AS anchor FROM q6)"""
 
 
+_ANALYSE = _analyse("query_text")
+
+
 def _pick(local: str, lexical: str, hybrid: str, wide: str) -> str:
     return f"CASE intent WHEN 'local' THEN {local} WHEN 'lexical' THEN {lexical} WHEN 'hybrid' THEN {hybrid} ELSE {wide} END"
 
@@ -215,8 +233,8 @@ SELECT * FROM f UNION ALL SELECT query_id, doc, 'fallback' AS path, rank FROM li
 ru AS (SELECT * FROM (VALUES ('recall', '>=', CAST(0.7 AS DOUBLE), false), ('mrr', '>=', 0.6, false), ('isolation', '>=', 1.0, true)) t(name, op, target, hard))
 SELECT name, op, target, hard, value, coalesce(value >= target, false) AS passed FROM ru LEFT JOIN va USING (name)""",
     "stage_report": "SELECT event_type AS step, count(*) AS calls, round(avg(value), 4) AS mean, round(quantile_disc(value, 0.5), 4) AS p50, round(quantile_disc(value, 0.95), 4) AS p95, round(quantile_disc(value, 0.99), 4) AS p99, round(sum(value) / (SELECT sum(value) FROM events), 4) AS share FROM events GROUP BY 1",
-    "telemetry_grid": "WITH t AS (SELECT CAST(user_id AS VARCHAR) AS request_id, round(sum(value), 4) AS total_ms FROM events GROUP BY 1), s AS (SELECT unnest(['click', 'view', 'purchase', 'never_run']) AS step), p AS (SELECT CAST(user_id AS VARCHAR) AS request_id, event_type AS step, sum(value) AS v FROM events GROUP BY ALL) SELECT request_id, step, total_ms, round(coalesce(v, 0), 4) AS latency_ms FROM t CROSS JOIN s LEFT JOIN p USING (request_id, step)",
-    "slowest_requests": "WITH t AS (SELECT CAST(user_id AS VARCHAR) AS request_id, round(sum(value), 4) AS total_ms FROM events GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20) SELECT request_id, total_ms, coalesce(round(sum(value) FILTER (WHERE event_type = 'click'), 4), 0) AS click, coalesce(round(sum(value) FILTER (WHERE event_type = 'view'), 4), 0) AS view, coalesce(round(sum(value) FILTER (WHERE event_type = 'purchase'), 4), 0) AS purchase FROM t JOIN events ON CAST(user_id AS VARCHAR) = request_id GROUP BY 1, 2",
+    "telemetry_grid": "WITH t AS (SELECT CAST(user_id AS VARCHAR) AS request_id, round(sum(value), 4) AS total_ms FROM events GROUP BY 1), s AS (SELECT unnest(['click', 'view', 'purchase', 'signup', 'error', 'never_run']) AS step), p AS (SELECT CAST(user_id AS VARCHAR) AS request_id, event_type AS step, sum(value) AS v FROM events GROUP BY ALL) SELECT request_id, step, total_ms, round(coalesce(v, 0), 4) AS latency_ms FROM t CROSS JOIN s LEFT JOIN p USING (request_id, step)",
+    "slowest_requests": "WITH t AS (SELECT CAST(user_id AS VARCHAR) AS request_id, round(sum(value), 4) AS total_ms FROM events GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20) SELECT request_id, total_ms, coalesce(round(sum(value) FILTER (WHERE event_type = 'click'), 4), 0) AS click, coalesce(round(sum(value) FILTER (WHERE event_type = 'view'), 4), 0) AS view, coalesce(round(sum(value) FILTER (WHERE event_type = 'purchase'), 4), 0) AS purchase, coalesce(round(sum(value) FILTER (WHERE event_type = 'signup'), 4), 0) AS signup, coalesce(round(sum(value) FILTER (WHERE event_type = 'error'), 4), 0) AS error FROM t JOIN events ON CAST(user_id AS VARCHAR) = request_id GROUP BY 1, 2",
     "edge_reasons": f"""WITH {_VERTICES}, k AS (SELECT DISTINCT tenant_id, entity_id FROM v),
 r AS (SELECT CASE WHEN NOT coalesce(upper(edge_type) IN {_in(_TYPES)}, false) THEN 'not_in_schema' WHEN coalesce(e.confidence, 1.0) < 0.8 THEN 'low_confidence' WHEN a.entity_id IS NULL OR b.entity_id IS NULL THEN 'dangling' WHEN source_id = target_id THEN 'self_loop' ELSE 'accepted' END AS reason
 FROM edges e LEFT JOIN k a ON a.tenant_id = e.tenant_id AND a.entity_id = source_id LEFT JOIN k b ON b.tenant_id = e.tenant_id AND b.entity_id = target_id) SELECT reason, count(*) AS n FROM r GROUP BY 1""",
@@ -243,10 +261,10 @@ FROM rec r JOIN d USING (tenant_id, source_id, edge_type, target_id) JOIN nm a O
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY at_seed DESC, confidence DESC, source_id, edge_type, target_id) AS rank, concat_ws(' ', sn, lower(replace(edge_type, '_', ' ')), tn || '.') AS passage FROM x QUALIFY rank <= 5""",
     "entity_mentions": "SELECT tenant_id, entity_id, count(DISTINCT mention_id) AS mentions, count(DISTINCT chunk_id) AS chunks, max(seen_at) AS last_seen FROM mentions WHERE entity_id IS NOT NULL GROUP BY ALL",
     "adjacency": f"WITH {_ADJACENT} SELECT * FROM adj",
-    "communities_2rounds": f"WITH {_ADJACENT}{_rounds(2)} SELECT * FROM l2",
-    "communities_ranked": f"""WITH {_ADJACENT}{_rounds(2)}, sz AS (SELECT tenant_id, community, count(*) AS members FROM l2 GROUP BY ALL HAVING count(*) >= 3),
-ins AS (SELECT e.tenant_id, a.community, count(*) AS n FROM (SELECT DISTINCT tenant_id, source_id, upper(edge_type), target_id FROM edges WHERE source_id <> target_id) e JOIN l2 a ON a.tenant_id = e.tenant_id AND a.entity_id = source_id JOIN l2 b ON b.tenant_id = e.tenant_id AND b.entity_id = target_id WHERE a.community = b.community GROUP BY ALL)
-SELECT tenant_id, community, members, coalesce(n, 0) AS internal_edges, row_number() OVER (PARTITION BY tenant_id ORDER BY members DESC, community) AS position, round(coalesce(n, 0) / members, 4) AS density FROM sz LEFT JOIN ins USING (tenant_id, community) QUALIFY position <= 200""",
+    "communities": f"WITH {_ADJACENT}{_rounds(12)} SELECT * FROM l12",
+    "communities_ranked": f"WITH {_RANKED} SELECT * FROM ranked",
+    "community_reports": f"""WITH {_RANKED}, {_REPORTS} SELECT tenant_id, community, title, summary, members FROM rep""",
+    "community_report_chunks": f"""WITH {_RANKED}, {_REPORTS} SELECT tenant_id, concat_ws(':', 'community', tenant_id, community) AS chunk_id, 'communities' AS doc, 'community_report' AS kind, title || chr(10) || summary AS text, 'Community report · ' || title AS citation FROM rep""",
     "document_headings": r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents WHERE trim(text) <> '')
 SELECT doc_id, count(*) AS headings, CAST(min(length(regexp_extract(line, '^[ \t]{0,3}(#{1,6})', 1))) AS INT) AS top_level FROM l WHERE regexp_matches(line, '^[ \t]{0,3}#{1,6}[ \t]+\S') GROUP BY 1""",
     "block_issues": f"""WITH b AS (SELECT block_no, kind, text, {_TOKENS.format('text')} AS tk, coalesce(trim(text), '') = '' AS blank, {_ALPHA} AS alpha FROM blocks),
@@ -254,7 +272,7 @@ x AS (SELECT block_no, list_filter([CASE WHEN blank THEN 'empty:reject' END, CAS
 SELECT block_no, array_to_string(i, ',') AS issues, len(list_filter(i, lambda z: contains(z, ':reject'))) = 0 AS valid FROM x""",
     "sibling_links": "WITH b AS (SELECT block_no, tenant_id, doc_key, block_pos, doc_key || '_c' || block_pos AS chunk_id FROM blocks WHERE doc_key IS NOT NULL) SELECT block_no, chunk_id, lag(chunk_id) OVER w AS prev_chunk_id, lead(chunk_id) OVER w AS next_chunk_id FROM b WINDOW w AS (PARTITION BY tenant_id, doc_key ORDER BY block_pos)",
     "table_chunks": """WITH r AS (SELECT block_no, table_headers AS h, generate_subscripts(table_rows, 1) - 1 AS pos, unnest(table_rows) AS cells FROM blocks WHERE kind = 'table'),
-g AS (SELECT block_no, CAST(floor(pos / 5) AS INT) AS part, count(*) AS n_rows, string_agg(array_to_string(list_transform(cells, lambda c: coalesce(c, '')), ' | '), chr(10) ORDER BY pos) AS body, any_value(h) AS h FROM r GROUP BY ALL)
+g AS (SELECT block_no, CAST(floor(pos / 20) AS INT) AS part, count(*) AS n_rows, string_agg(array_to_string(list_transform(cells, lambda c: coalesce(c, '')), ' | '), chr(10) ORDER BY pos) AS body, any_value(h) AS h FROM r GROUP BY ALL)
 SELECT block_no, part, n_rows, CASE WHEN len(h) > 0 THEN array_to_string(h, ' | ') || chr(10) ELSE '' END || body AS text FROM g""",
     "record_blocks": f"SELECT record_id, tenant_id, len({_RECORDTEXT}) AS n_fields, array_to_string(list_transform({_RECORDTEXT}, lambda c: c.column_name || ': ' || trim(c.cell_value)), chr(10)) AS text FROM records WHERE len({_RECORDTEXT}) > 0",
     "block_citations": r"""SELECT block_no, concat_ws(' · ', nullif(regexp_extract(source_uri, '([^/\\]+)$', 1), ''), 'p.' || page, 'row ' || row_index, CASE WHEN len(section_path) > 0 THEN array_to_string(section_path, ' > ') END) AS citation,
