@@ -37,6 +37,12 @@ def build_index(docs: DataFrame, doc: str = "chunk_no", text: str = "text") -> I
     return Index(postings, stats)
 
 
+def index_of(postings: DataFrame) -> Index:
+    """The index whose postings these are; the statistics follow from them."""
+    docs = postings.groupBy("tenant_id", "doc").agg(F.max("doc_len").alias("doc_len"))
+    return Index(postings, docs.groupBy("tenant_id").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("doc_len").alias("avg_len")))
+
+
 def query_terms(queries: DataFrame, query: str = "query_id", text: str = "query_text") -> DataFrame:
     """(query_id, tenant_id, term, times): a repeated query term counts again."""
     rows = queries.select(F.col(query).alias("query_id"), "tenant_id", F.explode(tx.terms(F.col(text))).alias("term"))

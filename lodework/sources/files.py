@@ -9,13 +9,14 @@ from __future__ import annotations
 import importlib.util
 import json
 from collections.abc import Iterator
-from functools import partial
 from pathlib import PurePosixPath
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodework.session import stored
+
 RECORD = "source_uri string, source_format string, row_index long, cells array<struct<column_name:string,cell_value:string>>"
 PROSE = "source_uri string, source_format string, text string"
 SUFFIXES = {".csv": "csv", ".tsv": "tsv", ".json": "json", ".jsonl": "jsonl", ".ndjson": "jsonl", ".xlsx": "xlsx", ".xls": "xlsx", ".txt": "txt", ".md": "md", ".markdown": "md", ".rst": "txt", ".html": "html", ".htm": "html", ".pdf": "pdf", ".docx": "docx", ".pptx": "pptx"}
@@ -62,21 +63,46 @@ def _cells(row: dict, columns: list[str]) -> list[dict]:
     return [{"column_name": c, "cell_value": show(row.get(c))} for c in columns]
 
 
-def _json_files(frames: Iterator[pd.DataFrame], lines: bool) -> Iterator[pd.DataFrame]:
+def _json_files(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for f in frames:
         for uri, text in zip(f["source_uri"], f["text"], strict=True):
-            text = text.lstrip("﻿")
-            rows = [x for line in text.split("\n") if line.strip() for x in [json.loads(line)] if isinstance(x, dict)] if lines else _rows_of_json(json.loads(text))
+            rows = _rows_of_json(json.loads(text.lstrip("\ufeff")))
             columns = list(dict.fromkeys(k for r in rows for k in r))
-            yield pd.DataFrame([(uri, "jsonl" if lines else "json", i, _cells(r, columns)) for i, r in enumerate(rows)], columns=["source_uri", "source_format", "row_index", "cells"])
+            yield pd.DataFrame([(uri, "json", i, _cells(r, columns)) for i, r in enumerate(rows)], columns=["source_uri", "source_format", "row_index", "cells"])
+
+
+def _json_lines(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for f in frames:
+        out = []
+        for uri, n, line in zip(f["source_uri"], f["n"], f["line"], strict=True):
+            row = json.loads(line.lstrip("\ufeff"))
+            if isinstance(row, dict):
+                out.append((uri, n, _cells(row, list(row))))
+        yield pd.DataFrame(out, columns=["source_uri", "n", "cells"])
 
 
 def read_json(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """Rows of JSON files: a list, the first list of objects in an object, or one object; with lines, one object a line.
 
-    Columns are the union of keys in first-seen order, per file. Malformed JSON fails the job.
+    Columns are the union of keys in first-seen order, per file. Malformed JSON fails the job. A JSON document is one row
+    while it is read; lines are split like any text, so one large file is many tasks.
     """
-    return _whole(spark, path).mapInPandas(partial(_json_files, lines=lines), RECORD)
+    if not lines:
+        return _whole(spark, path).mapInPandas(_json_files, RECORD)
+    text = spark.read.text(path).select(F.input_file_name().alias("source_uri"), F.monotonically_increasing_id().alias("n"), F.col("value").alias("line"))
+    rows = text.where(F.trim("line") != "").mapInPandas(_json_lines, "source_uri string, n long, cells array<struct<column_name:string,cell_value:string>>")
+    rows = stored(rows.withColumn("split", F.shiftright("n", 33)), "lines")
+    # rows are numbered within their split, and splits carry on where the ones before them in the file end
+    counts = rows.groupBy("source_uri", "split").agg(F.count(F.lit(1)).alias("c"))
+    before = F.coalesce(F.sum("c").over(Window.partitionBy("source_uri").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select("source_uri", "split", before.alias("before"))
+    near = F.row_number().over(Window.partitionBy("source_uri", "split").orderBy("n")) - 1
+    keys = rows.select("source_uri", "n", F.posexplode("cells").alias("pos", "c")).groupBy("source_uri", "c.column_name").agg(F.min(F.struct("n", "pos")).alias("first"))
+    keys = keys.groupBy("source_uri").agg(F.transform(F.sort_array(F.collect_list(F.struct("first", "column_name"))), lambda x: x["column_name"]).alias("columns"))
+    own = F.map_from_entries(F.transform("cells", lambda c: F.struct(c["column_name"], c["cell_value"])))
+    rows = rows.withColumn("near", near).join(counts, ["source_uri", "split"]).join(keys, "source_uri")
+    cells = F.transform("columns", lambda k: F.struct(k.alias("column_name"), F.coalesce(F.try_element_at(own, k), F.lit("")).alias("cell_value")))
+    return rows.select("source_uri", F.lit("jsonl").alias("source_format"), (F.col("before") + F.col("near")).alias("row_index"), cells.alias("cells"))
 
 
 def _whole(spark: SparkSession, path: str) -> DataFrame:
@@ -137,7 +163,11 @@ def _pages(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = []
         for uri, content in zip(f["path"], f["content"], strict=True):
             for n, page in enumerate(pypdf.PdfReader(io.BytesIO(content)).pages, 1):
-                out += [(uri, "pdf", n, p.strip()) for p in (page.extract_text() or "").split("\n\n") if len(p.strip()) >= 20]
+                try:
+                    text = page.extract_text() or ""
+                except Exception:  # noqa: BLE001  a broken page doesn't take the file with it
+                    continue
+                out += [(uri, "pdf", n, p.strip()) for p in text.split("\n\n") if len(p.strip()) >= 20]
         yield pd.DataFrame(out, columns=["source_uri", "source_format", "page", "text"])
 
 
@@ -166,10 +196,19 @@ def read_any(spark: SparkSession, path: str) -> DataFrame:
     return read_text(spark, path, kind)
 
 
-def read_folder(spark: SparkSession, path: str, pattern: str = "*.{md,txt,rst}", least_chars: int = 0) -> DataFrame:
-    """Prose files of a folder and the folders below it; unreadable files are skipped, short texts are left out."""
+def read_folder(spark: SparkSession, path: str, pattern: str = "*.{md,txt,rst}", least_chars: int = 0, max_files: int | None = None) -> DataFrame:
+    """Prose files of a folder and the folders below it; unreadable files are skipped, short texts are left out.
+
+    With max_files the first so many by path are read.
+    """
     df = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).option("ignoreCorruptFiles", "true").text(path, wholetext=True)
-    return df.select(F.input_file_name().alias("source_uri"), F.lit("txt").alias("source_format"), F.col("value").alias("text")).where(F.length("text") >= least_chars)
+    uri = F.input_file_name()
+    suffix = F.lower(F.regexp_extract(uri, r"\.[A-Za-z0-9]+$", 0))
+    kind = F.lit("txt")
+    for end, name in SUFFIXES.items():
+        kind = F.when(suffix == end, name).otherwise(kind)
+    rows = df.select(uri.alias("source_uri"), kind.alias("source_format"), F.col("value").alias("text")).where(F.length("text") >= least_chars)
+    return rows if max_files is None else rows.orderBy("source_uri").limit(max_files)
 
 
 def films(movies: DataFrame, credits: DataFrame) -> DataFrame:

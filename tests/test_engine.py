@@ -125,3 +125,61 @@ def test_ingest_stream_runs_once_per_batch(spark, tmp_path):
     q.awaitTermination(120)
     assert sum(seen) == 5
     assert streams.latency_windows(spark.sql("SELECT timestamp'2024-01-01 00:10:00' ts, 'a' event_type, 2.0D value")).first()["calls"] == 1
+
+
+def test_shorter_document_leaves_nothing_behind(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "kb"), {"movies_bot": "film"})
+    e.provision("movies_bot")
+    long = "# One\n\n" + DOCS[0][1][13:] + "\n\n# Two\n\nDunkirk is a 2017 film about an evacuation by sea. Christopher Nolan directed Dunkirk with young actors."
+    first = {r["table"]: r["rows"] for r in e.ingest("movies_bot", spark.createDataFrame([("d", long)], "doc_id string, text string")).collect()}
+    again = {r["table"]: r["rows"] for r in e.ingest("movies_bot", spark.createDataFrame([("d", DOCS[0][1])], "doc_id string, text string")).collect()}
+    assert first["chunks"] == 2 and again["chunks"] == 1
+    t = guards.Tenant("movies_bot")
+    assert {r["chunk_id"] for r in e.store.read(t, "mentions").collect()} <= {r["chunk_id"] for r in e.store.read(t, "chunks").collect()}
+    assert e.store.missing(t) == {"missing": [], "extra": []} and e.store.missing(guards.Tenant("no_bot"))["missing"] == ["chunks", "edges", "entities", "mentions"]
+
+
+def test_records_tables_and_communities(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "kb"))
+    e.provision("herbs_bot")
+    rows = [(i, "sheet.csv", i, [("herb", f"{'ABCDEF'[i % 6]}root Plant"), ("symptom", ["fever, cough", "gout"][i % 2]), ("local name", f"Kraut {i % 6}")]) for i in range(12)]
+    records = spark.createDataFrame(rows, "record_id long, source_uri string, row_index int, cells array<struct<column_name:string,cell_value:string>>")
+    got = {r["table"]: r for r in e.ingest_records("herbs_bot", records).collect()}
+    assert got["chunks"]["rows"] == 12 and got["edges"]["rows"] > 0 and all(r["duplicate_keys"] == 0 for r in got.values())
+    t = guards.Tenant("herbs_bot")
+    assert any(r["aliases"] for r in e.store.read(t, "entities").collect())
+    doc = "# Remedies\n\n| herb | symptom |\n| --- | --- |\n| Gray Moss | gout |\n| Gray Moss | fever |\n"
+    e.ingest("herbs_bot", spark.createDataFrame([("page", doc)], "doc_id string, text string"))
+    assert e.store.read(t, "entities").where("entity_name = 'Gray Moss'").count() == 1
+    told = e.communities("herbs_bot")
+    assert told.count() >= 1 and {r["kind"] for r in e.counts("herbs_bot").where("table = 'chunks'").collect()} >= {"record", "community_report"}
+    q = spark.createDataFrame([(1, "Give an overview of the main themes across the whole collection of relations"), (2, "it"), (3, "Which herb helps against gout?")], "query_id int, query_text string")
+    out = e.search("herbs_bot", q)
+    assert "community" in {r["path"] for r in out.hits.where("query_id = 1").collect()}
+    assert [(r["query_id"], r["reason"]) for r in out.questions.collect()] == [(2, "anaphora_without_antecedent")] and out.hits.where("query_id = 2").count() == 0
+    assert out.hits.where("query_id = 3 and path <> 'community'").count() > 0 and e.ready() == []
+
+
+def test_version_cache(spark):
+    from lodework.sources.cache import VersionCache
+
+    now, built = [0.0], []
+    cache = VersionCache(lambda: now[0])
+    get = lambda v: cache.get(("t", "x"), v, 10, lambda: built.append(v) or spark.range(3))
+    get("a"), get("a")
+    now[0] = 11.0
+    get("a"), get("b")
+    assert built == ["a", "a", "b"] and cache.age(("t", "x")) == 0
+    cache.drop()
+    assert cache.age(("t", "x")) is None
+
+
+def test_json_lines_are_split(spark, tmp_path):
+    (tmp_path / "x.jsonl").write_text("".join(json.dumps({"k": i, **({"late": "z" * 50} if i == 700 else {})}) + "\n" for i in range(1000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        rows = files.read_json(spark, str(tmp_path / "x.jsonl"), lines=True).orderBy("row_index").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [r["row_index"] for r in rows] == list(range(1000)) and [r["cells"][0]["cell_value"] for r in rows] == [str(i) for i in range(1000)]
+    assert all([c["column_name"] for c in r["cells"]] == ["k", "late"] for r in rows)
