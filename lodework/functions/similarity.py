@@ -75,7 +75,7 @@ def _hashed(name: str, dim: int) -> dict[int, float]:
 
 def hashed_cosine_of(a: str, b: str, dim: int = 384) -> float:
     x, y = _hashed(a, dim), _hashed(b, dim)
-    return sum(w * y.get(k, 0.0) for k, w in x.items())
+    return round(sum(w * y.get(k, 0.0) for k, w in x.items()), 6)
 
 
 @F.pandas_udf(DoubleType())

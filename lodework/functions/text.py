@@ -131,3 +131,19 @@ def contains_fold(text: Column, phrase: Column) -> Column:
 
 def fingerprint(key: Column) -> Column:
     return F.substring(F.sha2(key, 256), 1, 12)
+
+
+def tolerant_json(c: Column, schema: str) -> Column:
+    """The object in a text that may have words or a code fence around it; null where there is none or it doesn't parse."""
+    return F.from_json(F.nullif(F.regexp_extract(c, r"(?s)\{.*\}", 0), F.lit("")), schema)
+
+
+def cite_passage(doc: Column, path: Column, via: Column) -> Column:
+    """doc · a > b · via path, without what is missing."""
+    return F.concat_ws(" · ", doc, F.when(F.size(path) > 0, F.array_join(path, " > ")), F.concat(F.lit("via "), via))
+
+
+def truncate(c: Column, limit: int) -> Column:
+    """The first `limit` characters, cut back to the last blank among them where there is one; shorter texts as they are."""
+    head = F.substring(c, 1, limit)
+    return F.when(F.length(c) <= limit, c).otherwise(F.coalesce(F.nullif(F.rtrim(F.regexp_extract(head, r"(?s)^(.*)\s", 1)), F.lit("")), head))

@@ -65,6 +65,10 @@ def clamp_depth(depth: int) -> int:
     return min(max(int(depth), 1), MOST_DEPTH)
 
 
+def clamp_limit(limit: int) -> int:
+    return min(max(int(limit), 1), MOST_NODES)
+
+
 def traverse(edges: DataFrame, seeds: DataFrame, depth: int = 2, limit: int | None = MOST_NODES, types: list[str] | None = None) -> DataFrame:
     """Nodes within `depth` hops of each seed's query: (query_id, tenant_id, entity_id, hop), undirected, nearest hop.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -30,16 +30,24 @@ def ranking_metrics(ranked: DataFrame, relevant: DataFrame, queries: DataFrame,
     )
 
 
-def nearest_rank(column: str, p: float) -> Column:
-    """The value at the nearest rank: exact, unlike an interpolated percentile."""
-    return F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {column})")
+def nearest_ranks(rows: DataFrame, key: str, value: str, ps: dict[str, float]) -> DataFrame:
+    """(key, one column per percentile): the values at the nearest ranks, exact.
+
+    Equal values are counted first; a key's counts are then summed in the order of values, so no task holds all values
+    of a key in one buffer.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(key, F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    whole = Window.partitionBy(key)
+    counts = counts.withColumns({"upto": F.sum("c").over(whole.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)), "n": F.sum("c").over(whole)})
+    return counts.groupBy(key).agg(*[F.min(F.when(F.col("upto") >= F.ceil(F.col("n") * F.lit(p)), F.col("v"))).alias(name) for name, p in ps.items()])
 
 
 def stage_report(steps: DataFrame, step: str = "step", latency: str = "latency_ms") -> DataFrame:
     """Per step: calls, mean, p50, p95, p99, and the share of the total time."""
-    per = steps.groupBy(F.col(step).alias("step")).agg(F.count(F.lit(1)).alias("calls"), F.sum(latency).alias("total"), F.round(F.avg(latency), 4).alias("mean"), nearest_rank(latency, 0.5).alias("p50"), nearest_rank(latency, 0.95).alias("p95"), nearest_rank(latency, 0.99).alias("p99"))
+    per = steps.groupBy(F.col(step).alias("step")).agg(F.count(F.lit(1)).alias("calls"), F.sum(latency).alias("total"), F.round(F.avg(latency), 4).alias("mean"))
+    ranks = nearest_ranks(steps.select(F.col(step).alias("step"), F.col(latency).alias("latency")), "step", "latency", {"p50": 0.5, "p95": 0.95, "p99": 0.99})
     whole = per.agg(F.sum("total").alias("whole"))
-    return per.crossJoin(F.broadcast(whole)).withColumn("share", F.round(F.col("total") / F.col("whole"), 6)).drop("whole", "total")
+    return per.join(ranks, "step", "left").crossJoin(F.broadcast(whole)).withColumn("share", F.round(F.col("total") / F.col("whole"), 6)).drop("whole", "total")
 
 
 def by_category(metrics: DataFrame, names: list[str]) -> DataFrame:
@@ -98,6 +106,10 @@ CONFIGURATIONS = [
 ]
 
 
+# The rules a case may be judged by.
+RULES = ["rejects", "abstains", "routes_to", "clarifies", "retrieves_graph", "retrieves_text", "retrieves_any"]
+
+
 def pass_rule(rule: Column, texts: Column, expected: Column, forbidden: Column, intent: Column, want_intent: Column, graph_edges: Column, least_edges: Column, passages: Column, rejected: Column) -> Column:
     """Whether a case passes by its own rule. Missing lists are empty; an unknown rule asks for any passage."""
     none = F.array().cast("array<string>")

@@ -14,7 +14,24 @@ from pyspark.sql import functions as F
 
 from lodework.functions import text as tx
 
+#: Turns rows (chunk_id, text) into rows (chunk_id, answer), the answer a text with a JSON object in it.
 Provider = Callable[[DataFrame], DataFrame]
+#: Characters of a chunk that a provider is shown (a fixed value of the extraction model).
+MOST_SHOWN = 6000
+_ANSWER = "entities array<struct<name:string,label:string,confidence:double>>, relations array<struct<source:string,relation:string,target:string,confidence:double>>"
+
+
+def propose(chunks: DataFrame, provider: Provider | None) -> tuple[DataFrame, DataFrame]:
+    """What a provider proposes for chunks (chunk_id, text): entities and relations, as `accept` takes them.
+
+    Without a provider nothing is proposed. Of an answer the outermost object counts, whatever stands around it; an
+    answer without one, or with other fields, proposes nothing.
+    """
+    shown = chunks.select("chunk_id", F.substring("text", 1, MOST_SHOWN).alias("text"))
+    answers = shown.select("chunk_id", F.lit(None).cast("string").alias("answer")).where("false") if provider is None else provider(shown)
+    told = answers.select("chunk_id", tx.tolerant_json(F.col("answer"), _ANSWER).alias("x"))
+    entities = told.select("chunk_id", F.inline("x.entities"))
+    return entities, told.select("chunk_id", F.inline("x.relations"))
 
 # Fixed values of the coercion: near-misses of labels and of relations.
 LABELS = {

@@ -60,7 +60,7 @@ def links(names: DataFrame) -> DataFrame:
     Pairs that can't reach the lower bound of either way are left out on the JVM, before any similarity is computed.
     """
     pairs = candidates(names).where(_may_match("norm_a", "norm_b", RESCUE_FROM))
-    pairs = pairs.withColumn("x", jaro_winkler("norm_a", "norm_b")).where(F.col("x") >= RESCUE_FROM)
+    pairs = pairs.withColumn("x", F.round(jaro_winkler("norm_a", "norm_b"), 9)).where(F.col("x") >= RESCUE_FROM)
     alike = F.col("x") >= SAME
     pairs = pairs.withColumn("c", F.when(~alike, hashed_cosine("norm_a", "norm_b"))).where(alike | (F.col("c") >= RESCUE_COSINE))
     score = F.when(alike, F.col("x")).otherwise(F.round(RESCUE_COSINE_PART * F.col("c") + (1 - RESCUE_COSINE_PART) * F.col("x"), 4))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodework.functions import registry
 from lodework.functions import text as tx
 from lodework.operators import chunking, community, embedding, graph, guards, metrics, report, retrieval, routing, structured, understand
 from lodework.plans import core, evaluate
@@ -179,6 +180,34 @@ def question_set(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.question_set(retrieval.fuse(words.unionByName(vector), 10), vector, core._relevant(spark, d), q)
 
 
+@_query
+def rules_passed(spark: SparkSession, d: str) -> DataFrame:
+    """Every question by each of the seven rules a case may be judged by."""
+    q, e = core._queries(spark, d), table(spark, d, "edges")
+    hits = retrieval.top(retrieval.bm25(core._index(spark, d), retrieval.query_terms(q, text="passage")), 5).join(core._chunks(spark, d).select("doc", "text"), "doc")
+    got = hits.groupBy("query_id").agg(F.collect_list("text").alias("texts"), F.count(F.lit(1)).alias("passages"))
+    around = graph.recover_edges(e, graph.traverse(e, core._seeds(spark, d), 1)).groupBy("query_id").agg(F.count(F.lit(1)).alias("n_edges"))
+    rows = q.join(understand.analyse(q).select("query_id", "intent"), "query_id").join(got, "query_id", "left").join(around, "query_id", "left")
+    rows = rows.withColumn("rule", F.explode(F.array(*[F.lit(r) for r in metrics.RULES])))
+    bad = guards.violation(F.col("query_text")).isNotNull()
+    ok = metrics.pass_rule(F.col("rule"), F.col("texts"), F.col("expected_text"), F.col("expected_text"), F.col("intent"), F.lit("local"), F.coalesce("n_edges", F.lit(0)), F.col("hops"), F.coalesce("passages", F.lit(0)), bad)
+    return rows.select("query_id", "rule", ok.alias("passed"))
+
+
+@_query
+def sql_functions(spark: SparkSession, d: str) -> DataFrame:
+    """The registered functions, called from SQL."""
+    registry.register(spark)
+    return spark.sql("SELECT vertex_id, lode_entity_id(label, entity_name) AS canonical, lode_token_count(entity_name) AS tokens, round(lode_cosine(array(1D, cast(vertex_id % 7 AS DOUBLE)), array(2D, 1D)), 6) AS cosine FROM {e}", e=table(spark, d, "entities"))
+
+
+@_query
+def passage_citations(spark: SparkSession, d: str) -> DataFrame:
+    """Where a passage is from, in one line, and the first 80 characters of it at a blank."""
+    rows = table(spark, d, "blocks").select("block_no", "doc_key", "section_path", "kind", "text")
+    return rows.select("block_no", tx.cite_passage(F.col("doc_key"), F.col("section_path"), F.col("kind")).alias("citation"), tx.truncate(F.col("text"), 80).alias("head"))
+
+
 @_query
 def report_markdown(spark: SparkSession, d: str) -> DataFrame:
     """The metrics by category as the lines of a report."""

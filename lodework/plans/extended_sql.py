@@ -91,6 +91,39 @@ al AS (SELECT tenant_id, norm, enorm, CASE WHEN norm = enorm THEN 1.0 ELSE round
 SELECT query_id, m.tenant_id, mention, entity_id, label, CAST(score AS DOUBLE) AS score, method FROM m JOIN al USING (tenant_id, norm) JOIN e USING (tenant_id, enorm)
 QUALIFY row_number() OVER (PARTITION BY query_id, mention ORDER BY score DESC, entity_id, method) = 1"""
 
+_ROUNDS = 8
+
+
+def _greedy() -> str:
+    """The merge by rounds of decisions, as many as are unrolled here."""
+    sql = f"""WITH n0 AS (SELECT tenant_id, label, {c._norm('entity_name')} AS norm, vertex_id FROM entities WHERE entity_name IS NOT NULL),
+n AS (SELECT tenant_id, label, norm, min(vertex_id) AS id FROM n0 WHERE norm <> '' GROUP BY ALL),
+k AS (SELECT *, unnest(list_distinct(list_concat([label || ':' || substr(norm, 1, 3)], list_transform(list_filter(string_split(norm, '_'), lambda t: length(t) >= 4), lambda t: label || ':tok:' || t)))) AS key FROM n),
+p AS (SELECT DISTINCT a.tenant_id, a.id AS a, b.id AS b, a.norm AS na, b.norm AS nb FROM k a JOIN k b ON a.tenant_id = b.tenant_id AND a.key = b.key AND a.id < b.id),
+d AS (SELECT DISTINCT tenant_id, norm FROM n),
+""" + _embed("de", "d", "norm", "replace(norm, '_', ' ')") + f""",
+j AS (SELECT *, round({_jw('na', 'nb')}, 9) AS x FROM p),
+co AS (SELECT j.a, j.b, round(sum(u.w * v.w), 6) AS c FROM j JOIN de u ON u.tenant_id = j.tenant_id AND u.key = j.na JOIN de v ON v.tenant_id = j.tenant_id AND v.key = j.nb AND v.bucket = u.bucket WHERE x >= 0.6 AND x < 0.85 GROUP BY ALL),
+e AS MATERIALIZED (SELECT a, b, x AS score, 'string_match' AS method FROM j WHERE x >= 0.85 UNION ALL SELECT a, b, round(0.6 * c + 0.4 * x, 4), 'vector_assisted' FROM j JOIN co USING (a, b) WHERE c >= 0.8),
+s0 AS MATERIALIZED (SELECT id, CASE WHEN id NOT IN (SELECT b FROM e) THEN 'canonical' END AS state FROM n)"""
+    for i in range(1, _ROUNDS + 1):
+        sql += f""",
+t{i} AS (SELECT b AS id, bool_or(coalesce(state = 'canonical', false)) AS taken, bool_and(state IS NOT NULL) AS whole FROM e JOIN s{i - 1} ON id = a GROUP BY b),
+s{i} AS MATERIALIZED (SELECT id, coalesce(state, CASE WHEN taken THEN 'merged' WHEN whole THEN 'canonical' END) AS state FROM s{i - 1} LEFT JOIN t{i} USING (id))"""
+    return sql + f""",
+r AS (SELECT vertex_id, id, state FROM n0 JOIN n ON n.tenant_id IS NOT DISTINCT FROM n0.tenant_id AND n.label IS NOT DISTINCT FROM n0.label AND n.norm = n0.norm JOIN s{_ROUNDS} USING (id)),
+ab AS (SELECT a AS canon, b AS id, score, method FROM e UNION ALL SELECT b, a, score, method FROM e)
+SELECT vertex_id, id AS canonical_id, CAST(1.0 AS DOUBLE) AS score, CASE WHEN vertex_id = id THEN 'new' ELSE 'exact' END AS method FROM r WHERE state = 'canonical'
+UNION ALL (SELECT r.vertex_id, canon, round(score, 4), method FROM r JOIN ab USING (id) JOIN s{_ROUNDS} f ON f.id = canon AND f.state = 'canonical' WHERE r.state = 'merged' AND canon < r.vertex_id QUALIFY row_number() OVER (PARTITION BY r.vertex_id ORDER BY score DESC, canon) = 1)"""
+
+
+# a fold over the events of each user: the times that were let through, and what was decided
+_LIMITED = """WITH o AS (SELECT user_id, list({'kept': CAST([] AS DOUBLE[]), 'out': CAST([] AS BOOLEAN[]), 't': epoch(ts)} ORDER BY ts, event_id) AS xs, list(event_id ORDER BY ts, event_id) AS ids FROM events WHERE ts IS NOT NULL GROUP BY 1),
+f AS (SELECT ids, list_reduce(list_prepend({'kept': CAST([] AS DOUBLE[]), 'out': CAST([] AS BOOLEAN[]), 't': 0.0::DOUBLE}, xs),
+  lambda acc, x: {'kept': CASE WHEN len(list_filter(acc.kept, lambda k: k > x.t - 3600)) < 3 THEN list_append(list_filter(acc.kept, lambda k: k > x.t - 3600), x.t) ELSE list_filter(acc.kept, lambda k: k > x.t - 3600) END,
+                  'out': list_append(acc.out, len(list_filter(acc.kept, lambda k: k > x.t - 3600)) < 3), 't': x.t}).out AS out FROM o)
+SELECT unnest(ids) AS event_id, unnest(out) AS allowed FROM f"""
+
 _REASON = r"""CASE WHEN query_id % 7 <> 0 THEN NULL WHEN query_id % 5 IN (0, 4) THEN 'anaphora_without_antecedent' WHEN query_id % 5 = 1 THEN 'continuation_without_prior_turn' WHEN query_id % 5 IN (2, 3) THEN 'category_without_entity' END"""
 _SAID = "['it', 'more', 'herbs', 'other documents', 'what about that?'][CAST(query_id % 5 + 1 AS INT)]"
 _MENTIONED = c._analyse("passage")
@@ -127,6 +160,8 @@ SQL: dict[str, str] = {
     "configuration_lift": _both_metrics() + " SELECT m.category, count(*) AS n, round(avg(m.recall), 6) AS base, round(avg(m2.recall), 6) AS other, round(avg(m2.recall - m.recall), 6) AS lift, count(*) FILTER (WHERE m2.recall > 0 AND m.recall = 0) AS only_other FROM m JOIN m2 USING (query_id) GROUP BY 1",
     "multi_hop_advantage": _both_metrics() + " SELECT coalesce(requires_multi_hop, false) AS multi_hop, count(*) AS n, round(avg(m.recall), 6) AS a, round(avg(m2.recall), 6) AS b, round(avg(m2.recall) - avg(m.recall), 6) AS advantage FROM m JOIN m2 USING (query_id) JOIN queries USING (query_id) GROUP BY 1",
     "linked_mentions": _LINKED,
+    "resolution_greedy": _greedy(),
+    "rate_limit_exact": _LIMITED,
     "clarifications": f"""SELECT query_id, {_REASON} AS reason, 'clarify' AS intent, CASE {_REASON} WHEN 'anaphora_without_antecedent' THEN 'What does "' || {_SAID} || '" refer to?' WHEN 'continuation_without_prior_turn' THEN 'There is no earlier question to continue. What would you like to know?' ELSE '"' || {_SAID} || '" names a kind of thing. Which one do you mean?' END AS prompt
 FROM queries WHERE query_id % 7 = 0""",
     "expanded_chunks": _HITS + ",\n" + c._traverse(1, None, seeds=_FROM_HITS) + """, f AS (SELECT query_id, tenant_id, entity_id FROM nodes QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY hop, entity_id) <= 25),
@@ -176,6 +211,15 @@ SELECT doc_id AS doc, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY part,
 hc AS (SELECT query_id, count(*) AS n_hits FROM a_r WHERE rank <= 5 GROUP BY 1), gu AS (SELECT query_id, {c._GUARD.replace('text', 'query_text')} AS bad FROM queries)
 SELECT query_id, CASE WHEN bad IS NOT NULL THEN 'refused' WHEN coalesce(n_hits, 0) > 0 THEN 'answered' ELSE 'empty' END AS outcome, bad AS reason, intent, CASE WHEN bad IS NULL THEN coalesce(n_hits, 0) ELSE 0 END AS n_hits FROM an JOIN gu USING (query_id) LEFT JOIN hc USING (query_id)""",
     "question_set": _ways(),
+    "rules_passed": c._analyse("query_text") + ", " + c._INDEX.removeprefix("WITH ") + c._bm25("a", "passage") + ",\n" + c._traverse(1, None) + c._RECOVER + f""",
+hj AS (SELECT a_r.query_id, lower(string_agg(text, ' ')) AS joined, count(*) AS n FROM a_r JOIN c USING (doc) WHERE rank <= 5 GROUP BY 1), re AS (SELECT query_id, count(*) AS n_edges FROM rec GROUP BY 1),
+gu AS (SELECT query_id, {c._GUARD.replace('text', 'query_text')} IS NOT NULL AS bad FROM queries),
+al AS (SELECT q.*, intent, joined, coalesce(n, 0) AS n, coalesce(n_edges, 0) AS n_edges, bad, unnest({metrics.RULES}) AS r FROM queries q JOIN an USING (query_id) JOIN gu USING (query_id) LEFT JOIN hj USING (query_id) LEFT JOIN re USING (query_id))
+SELECT query_id, r AS rule, CASE WHEN r = 'rejects' THEN bad WHEN bad THEN false WHEN r = 'abstains' THEN len(list_filter(coalesce(expected_text, []), lambda t: contains(coalesce(joined, ''), lower(t)))) = 0 WHEN r = 'routes_to' THEN intent = 'local' WHEN r = 'clarifies' THEN intent = 'clarify'
+WHEN r = 'retrieves_graph' THEN n_edges >= greatest(1, coalesce(hops, 1)) WHEN r = 'retrieves_text' THEN len(list_filter(coalesce(expected_text, []), lambda t: NOT contains(coalesce(joined, ''), lower(t)))) = 0 ELSE n > 0 END AS passed FROM al""",
+    "sql_functions": f"SELECT vertex_id, {c._ident('label', 'entity_name')} AS canonical, {c._TOKENS.format('entity_name')} AS tokens, round((2 + vertex_id % 7) / (sqrt(1 + (vertex_id % 7) * (vertex_id % 7)) * sqrt(5)), 6) AS cosine FROM entities",
+    "passage_citations": r"""SELECT block_no, concat_ws(' · ', doc_key, CASE WHEN len(section_path) > 0 THEN array_to_string(section_path, ' > ') END, 'via ' || kind) AS citation,
+CASE WHEN length(text) <= 80 THEN text ELSE coalesce(nullif(rtrim(regexp_extract(substr(text, 1, 80), '(?s)^(.*)\s', 1)), ''), substr(text, 1, 80)) END AS head FROM blocks""",
     "report_markdown": _BY_CATEGORY + """
 SELECT CAST(i AS INT) AS line_no, line FROM (VALUES (1, '# Retrieval by category'), (2, ''), (3, '| category | n | recall | mrr | ndcg |'), (4, '|---|---|---|---|---|')) t(i, line)
 UNION ALL SELECT CAST(row_number() OVER (ORDER BY category) + 4 AS INT), '| ' || concat_ws(' | ', category, n, printf('%.4f', recall), printf('%.4f', mrr), printf('%.4f', ndcg)) || ' |' FROM bc""",

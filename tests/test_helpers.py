@@ -111,3 +111,27 @@ def test_aliases(spark):
 def test_paragraphs(spark):
     df = spark.createDataFrame([(1, "lead\n\n# A\none\n\n \ntwo\n## B\n"), (2, "  "), (3, None)], "doc_id int, text string")
     assert [(r["pos"], r["section"], r["body"]) for r in chunking.paragraphs(df).orderBy("pos").collect()] == [(0, None, "lead"), (1, "A", "one"), (2, "A", "two")]
+
+
+def test_json_in_words(spark):
+    from lodework.functions import text as tx
+    from lodework.operators import proposals
+
+    df = spark.createDataFrame([(1, 'Sure!\\n```json\\n{"a": 1}\\n```'), (2, "none"), (3, None), (4, "{broken")], "i int, t string")
+    assert {r["i"]: r["x"] and r["x"]["a"] for r in df.select("i", tx.tolerant_json(F.col("t"), "a int").alias("x")).collect()} == {1: 1, 2: None, 3: None, 4: None}
+    chunks = spark.createDataFrame([("c", "Ada wrote")], "chunk_id string, text string")
+    answer = 'Here: {"entities": [{"name": "Ada", "label": "Person", "confidence": 0.9}], "relations": []} done'
+    e, r = proposals.propose(chunks, lambda df: df.select("chunk_id", F.lit(answer).alias("answer")))
+    assert [tuple(x) for x in e.collect()] == [("c", "Ada", "Person", 0.9)] and r.count() == 0
+    assert proposals.propose(chunks, None)[0].count() == 0
+    cut = spark.createDataFrame([("aaa bbb ccc",), ("aaaaaaaaaaaa",), ("short",), (None,)], "t string").select(tx.truncate(F.col("t"), 9).alias("x"))
+    assert [x["x"] for x in cut.collect()] == ["aaa bbb", "aaaaaaaaa", "short", None]
+    assert [graph.clamp_limit(x) for x in (0, 50, 1000)] == [1, 50, 100]
+
+
+def test_table_functions(spark):
+    from lodework.functions import registry
+
+    assert {"lode_names", "lode_blocks", "lode_cosine"} <= set(registry.register(spark))
+    assert [(r["kind"], r["body"]) for r in spark.sql("SELECT * FROM lode_blocks('# A\\n\\ntext')").collect()] == [("heading", "A"), ("prose", "text")]
+    assert spark.sql("SELECT name, label FROM lode_names('Who knows? Ada Lovelace directed it.', 'film')").first()["name"] == "Ada Lovelace"
