@@ -49,26 +49,26 @@ def query_terms(queries: DataFrame, query: str = "query_id", text: str = "query_
     return rows.groupBy("query_id", "tenant_id", "term").agg(F.count(F.lit(1)).alias("times"))
 
 
-#: A term that holds at least this part of all asked postings (so there are at most HOT_PARTS of them) is dealt out over salts.
-HOT_PARTS, SALTS = 1000, 32
+#: A term in at least this part of a tenant's documents (so that few terms are) is dealt out over salts.
+HOT_PART, SALTS = 0.05, 32
 
 
 def bm25(index: Index, terms: DataFrame) -> DataFrame:
     """(query_id, tenant_id, doc, score) of all documents that hold a term of the query.
 
     Only postings of terms that some query asks for are shuffled. A term in a large part of all documents is salted: its
-    postings are dealt out by document and its query rows repeated per salt, so no task gets all of its postings.
+    postings are dealt out by document and its query rows repeated per salt, so no task gets all of its postings. (Where
+    the query rows are few, AQE sends them to the postings and nothing is shuffled by term at all.)
     """
     asked = terms.select("tenant_id", "term").distinct()
     postings = index.postings.join(asked, ["tenant_id", "term"], "left_semi")
-    df = postings.groupBy("tenant_id", "term").agg(F.count(F.lit(1)).alias("df"))
+    df = postings.groupBy("tenant_id", "term").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(index.stats), "tenant_id")  # one row a tenant
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    per_term = df.join(F.broadcast(index.stats), "tenant_id").withColumn("idf", idf)  # one row a tenant
-    whole = df.agg(F.sum("df").alias("whole"))
-    hot = df.crossJoin(F.broadcast(whole)).where((F.col("df") * HOT_PARTS >= F.col("whole")) & (F.col("df") > SALTS * SALTS)).select("tenant_id", "term", F.lit(True).alias("hot"))
-    want = terms.join(per_term.drop("n_docs"), ["tenant_id", "term"]).join(F.broadcast(hot), ["tenant_id", "term"], "left")
-    want = want.withColumn("salt", F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))).drop("hot")
-    dealt = postings.join(F.broadcast(hot), ["tenant_id", "term"], "left")
+    hot = (F.col("df") >= HOT_PART * F.col("n_docs")) & (F.col("df") > SALTS * SALTS)
+    salts = F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    want = terms.join(df.select("tenant_id", "term", "avg_len", idf.alias("idf"), F.explode(salts).alias("salt")), ["tenant_id", "term"])
+    often = df.where(hot).select("tenant_id", "term", F.lit(True).alias("hot"))
+    dealt = postings.join(often, ["tenant_id", "term"], "left")
     dealt = dealt.withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))).drop("hot")
     hits = dealt.join(want, ["tenant_id", "term", "salt"])
     part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / F.col("avg_len")))
