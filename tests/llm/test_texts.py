@@ -12,7 +12,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lodework.llm import keyness, leakage, mixing, spans, splitting
+from lodework.llm import keyness, leakage, mixing, queries, spans, splitting
 
 # ---------------------------------------------------------------- keyness
 
@@ -37,6 +37,20 @@ def test_log_odds_against_plain_python(spark):
     assert keyness.log_odds(keyness.postings(df.limit(0))).count() == 0
 
 
+def test_found_terms_need_no_scores(spark, tmp_path, monkeypatch):
+    """p5_found takes the counts under the scores: the same rows, without a stage whose result it drops."""
+    maps = [{"a": 3, "b": 3, "c": 0}, {"a": 1, "b": 4, "c": 5}, {"a": 3}, {"b": 3}, None]
+    rows = [(i, ("t", "u", None)[i % 3], maps[i % 5]) for i in range(15)] + [(0, "t", maps[0])]
+    rows += [(100 + i, "v", {"hot": 3, "pair": 3} if i < 2 else {"hot": 3}) for i in range(9)] + [(200 + i, "w", {"only": 3}) for i in range(2)]
+    spark.createDataFrame(rows, "chunk_no long, tenant_id string, term_frequencies map<string,int>").write.parquet(f"{tmp_path}/lexical_docs.parquet")
+    scored = queries.p5_scores(spark, str(tmp_path)).where("tf >= 3 and document_frequency between 2 and 8").select("chunk_no", "term").distinct()
+    want = {tuple(r) for r in scored.collect()}
+    monkeypatch.setattr(keyness, "log_odds", None)
+    found = queries.p5_found(spark, str(tmp_path))
+    assert {tuple(r) for r in found.collect()} == want >= {(100, "pair"), (101, "pair"), (200, "only"), (201, "only")}
+    assert not {t for _, t in want} & {"hot"}
+
+
 # ---------------------------------------------------------------- splitting
 
 
