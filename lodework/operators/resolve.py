@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodework.functions import text as tx
-from lodework.functions.similarity import hashed_cosine, jaro_winkler, jaro_winkler_unaccented
+from lodework.functions.similarity import Likeness, hashed_cosine_of, jaro_winkler, jaro_winkler_unaccented
 from lodework.operators import retrieval
 from lodework.operators.skew import join_stats
 from lodework.session import stored
@@ -15,11 +19,17 @@ from lodework.session import stored
 SAME, RESCUE_FROM, RESCUE_COSINE, RESCUE_COSINE_PART, LINK_FROM, LINK_COSINE, LINK_COSINE_PART = 0.85, 0.60, 0.80, 0.6, 0.55, 0.70, 0.7
 
 
-def blocking_keys(entities: DataFrame) -> DataFrame:
-    """(tenant_id, id, key): a label with the first three letters of the name, and with each of its longer tokens."""
+#: A blocking key that more names than this hold is dealt out in parts, each pair of which is a block of its own.
+PART = 1024
+#: Pairs that are looked at together.
+PAIRS = 1_000_000
+
+
+def blocking_keys(entities: DataFrame, *more: str) -> DataFrame:
+    """(tenant_id, id, key) and more: a label with the first three letters of the name, and with each of its longer tokens."""
     tokens = F.filter(F.split("norm", "_"), lambda t: F.length(t) >= 4)
     keys = F.array_union(F.array(F.concat("label", F.lit(":"), F.substring("norm", 1, 3))), F.transform(tokens, lambda t: F.concat("label", F.lit(":tok:"), t)))
-    return entities.select("tenant_id", "id", F.explode(keys).alias("key"))
+    return entities.select("tenant_id", "id", *more, F.explode(keys).alias("key"))
 
 
 def names_of(entities: DataFrame) -> DataFrame:
@@ -54,35 +64,106 @@ def _may_match(a: str, b: str, least: float) -> Column:
     return jaro + prefix * 0.1 * (1 - jaro) >= least - 1e-4
 
 
-def links(names: DataFrame) -> DataFrame:
+def _blocks(names: DataFrame, part: int) -> DataFrame:
+    """Names by (tenant_id, key, p, q), sorted: parts p and q of the names of a key, side telling which; p = q is one part by itself."""
+    keyed = blocking_keys(names, "norm").where("tenant_id is not null and key is not null")
+    counts = keyed.groupBy("tenant_id", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    placed = join_stats(keyed, counts, ["tenant_id", "key"], "n", keyed.count())
+    parts = F.ceil(F.col("n") / part).cast("int")
+    placed = placed.withColumn("own", F.pmod(F.xxhash64("id"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    block = ["tenant_id", "key", "p", "q"]
+    placed = placed.select("tenant_id", "key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), (F.col("own") > F.col("other")).alias("side"), "id", "norm")
+    spark = names.sparkSession  # what a block costs goes by its pairs, not by its bytes, so the number of partitions is given
+    many = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    return placed.repartition(many, *block).sortWithinPartitions(*block, "side")
+
+
+def _linked(f: pd.DataFrame, first: np.ndarray) -> Iterator[pd.DataFrame]:
+    """The links within the blocks of f, which begin at the rows first."""
+    like, ids = Likeness(f["norm"].tolist()), f["id"].to_numpy()
+    fewest = like.fewest(RESCUE_COSINE)
+    n = len(f)
+    size = np.diff(np.append(first, n))
+    end = np.repeat(first + size, size)
+    side = f["side"].to_numpy(dtype=bool)
+    crossed = f["p"].to_numpy() != f["q"].to_numpy()
+    other = np.repeat(first + size - np.add.reduceat(side.astype(np.int64), first), size)  # where the second part begins
+    start = np.where(crossed, other, np.arange(n) + 1)
+    many = np.where(crossed & side, 0, end - start)
+    upto = np.cumsum(many)
+    row = 0
+    while row < n:
+        to = max(row + 1, int(np.searchsorted(upto, (upto[row - 1] if row else 0) + PAIRS, side="right")))
+        count = many[row:to]
+        a = np.repeat(np.arange(row, to), count)
+        b = np.arange(len(a)) - np.repeat(np.cumsum(count) - count, count) + start[a]
+        row = to
+        a, b = np.where(ids[a] < ids[b], a, b), np.where(ids[a] < ids[b], b, a)
+        most = like.may_reach(a, b)
+        may = most >= RESCUE_FROM - 1e-6
+        a, b, most = a[may], b[may], most[may]
+        x = np.zeros(len(a))
+        high = most >= SAME - 1e-6
+        x[high] = np.round(like.jaro_winkler(a[high], b[high], SAME), 9)
+        alike = x >= SAME
+        rest = np.flatnonzero(~alike)
+        rest = rest[like.common_buckets(a[rest], b[rest]) >= np.maximum(fewest[a[rest]], fewest[b[rest]])]
+        rest = rest[like.near_cosine(a[rest], b[rest]) >= RESCUE_COSINE - 1e-4]
+        y = np.round(like.jaro_winkler(a[rest], b[rest], RESCUE_FROM), 9)
+        rest, y = rest[y >= RESCUE_FROM], y[y >= RESCUE_FROM]
+        c = np.array([hashed_cosine_of(like.names[i], like.names[j]) for i, j in zip(a[rest], b[rest], strict=True)], dtype=float)
+        rest, y, c = rest[c >= RESCUE_COSINE], y[c >= RESCUE_COSINE], c[c >= RESCUE_COSINE]
+        yield pd.DataFrame({"a": ids[a[alike]], "b": ids[b[alike]], "x": x[alike], "c": np.nan})
+        yield pd.DataFrame({"a": ids[a[rest]], "b": ids[b[rest]], "x": y, "c": c})
+
+
+def _links(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of rows sorted by block. The last block of a frame waits for the next, as it may go on there."""
+    kept = None
+    for f in frames:
+        f = f if kept is None else pd.concat([kept, f], ignore_index=True)
+        new = (f[["tenant_id", "key", "p", "q"]] != f[["tenant_id", "key", "p", "q"]].shift()).any(axis=1)
+        first = np.flatnonzero(new.to_numpy())
+        kept = f.iloc[first[-1] :] if len(first) else None
+        if len(first) > 1:
+            yield from _linked(f.iloc[: first[-1]], first[:-1])
+    if kept is not None:
+        yield from _linked(kept, np.array([0]))
+
+
+def links(names: DataFrame, part: int = PART) -> DataFrame:
     """(a, b, score, method) of all pairs of candidates that match: by string, or by string and hashed embedding together.
 
-    Pairs that can't reach the lower bound of either way are left out on the JVM, before any similarity is computed.
+    The pairs are those of `candidates`, but they are made and compared within the task that has their block, many at
+    once; only links leave it. Pairs that can't reach the lower bound of either way are left out before any similarity
+    is computed. The same for any part.
     """
-    pairs = candidates(names).where(_may_match("norm_a", "norm_b", RESCUE_FROM))
-    pairs = pairs.withColumn("x", F.round(jaro_winkler("norm_a", "norm_b"), 9)).where(F.col("x") >= RESCUE_FROM)
-    alike = F.col("x") >= SAME
-    pairs = pairs.withColumn("c", F.when(~alike, hashed_cosine("norm_a", "norm_b"))).where(alike | (F.col("c") >= RESCUE_COSINE))
-    score = F.when(alike, F.col("x")).otherwise(F.round(RESCUE_COSINE_PART * F.col("c") + (1 - RESCUE_COSINE_PART) * F.col("x"), 4))
-    return pairs.select("a", "b", score.alias("score"), F.when(alike, "string_match").otherwise("vector_assisted").alias("method"))
+    pairs = _blocks(names, part).mapInPandas(_links, "a long, b long, x double, c double")
+    pairs = pairs.select("a", "b", "x", F.nanvl("c", F.lit(None)).alias("c")).distinct()
+    score = F.when(F.col("c").isNull(), F.col("x")).otherwise(F.round(RESCUE_COSINE_PART * F.col("c") + (1 - RESCUE_COSINE_PART) * F.col("x"), 4))
+    return pairs.select("a", "b", score.alias("score"), F.when(F.col("c").isNull(), "string_match").otherwise("vector_assisted").alias("method"))
 
 
 def canonical_names(names: DataFrame, matched: DataFrame) -> DataFrame:
     """(id) of the names that become canonical when all are gone through by id: those that match no earlier canonical one.
 
-    In each round every name is decided whose earlier matches are all decided, or one of whose is canonical; rounds are as
-    many as the longest chain of such decisions, each is a join over the open names, and each is written to the shared folder.
+    In each round the names without an open earlier match become canonical and the later matches of these are merged;
+    only matches of two names that are both still open go on to the next round, in the shared folder. Rounds are as many
+    as the longest chain of such decisions.
     """
     e = matched.select(F.least("a", "b").alias("early"), F.greatest("a", "b").alias("late"))
-    late = e.select(F.col("late").alias("id")).distinct()
-    state = names.select("id").join(late.withColumn("open", F.lit(True)), "id", "left")
-    state = stored(state.select("id", F.when(F.col("open").isNull(), "canonical").alias("state")), "state")
-    while not state.where("state is null").isEmpty():
-        told = e.join(state.withColumnsRenamed({"id": "early", "state": "told"}), "early").groupBy(F.col("late").alias("id"))
-        told = told.agg(F.max(F.coalesce(F.col("told") == "canonical", F.lit(False))).alias("taken"), F.min(F.col("told").isNotNull()).alias("whole"))
-        state = state.join(told, "id", "left").select("id", F.coalesce("state", F.when(F.col("taken"), "merged").when(F.col("whole"), "canonical")).alias("state"))
-        state = stored(state, "state")
-    return state.where("state = 'canonical'").select("id")
+    merged = None
+    while True:
+        early = e.select(F.col("early").alias("id")).distinct()
+        now = early.join(e.select(F.col("late").alias("id")).distinct(), "id", "left_anti").withColumnRenamed("id", "won")
+        gone = e.join(now, e["early"] == now["won"], "left_semi").select(F.col("late").alias("gone")).distinct()
+        gone = stored(gone, "merged")
+        if gone.isEmpty():
+            break
+        merged = gone if merged is None else merged.unionByName(gone)
+        e = e.join(gone, e["late"] == gone["gone"], "left_anti").join(gone, e["early"] == gone["gone"], "left_anti")
+        e = stored(e, "open")
+    return names.select("id") if merged is None else names.select("id").join(merged.withColumnRenamed("gone", "id"), "id", "left_anti")
 
 
 def greedy_merge(entities: DataFrame) -> DataFrame:

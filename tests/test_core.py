@@ -1,11 +1,12 @@
 from __future__ import annotations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lodework.functions import registry
 from lodework.functions import text as tx
-from lodework.functions.similarity import jaro_winkler_of
+from lodework.functions.similarity import Likeness, hashed_cosine_of, jaro_winkler_of
 from lodework.operators import chunking, community, context, extract, graph, guards, metrics, resolve, retrieval, structured, understand
 from lodework.operators.skew import join_stats
 
@@ -231,6 +232,37 @@ def greedy_by_hand(rows):
     return out
 
 
+def test_links_by_blocks(spark):
+    """Names of one busy key, dealt out over many blocks: the links of every pair, each once, whatever the parts."""
+    words = ["bo", "ravel", "ravle", "the", "motion", "pictures", "Ünal", "limited", "日本", "x" * 70]
+    norms = sorted({"_".join(sorted({words[i % 10].lower(), words[i // 10 % 10].lower(), "studio", words[i * 7 % 10].lower()}, key=lambda w: (len(w) * (i + 1) % 7, w))) for i in range(90)})
+    names = spark.createDataFrame([("t", "Studio", n, 1000 - i, 1) for i, n in enumerate(norms)] + [(None, "Studio", "ravel_studio", 2000, 1), ("u", None, "ravel_studio", 2001, 1)], "tenant_id string, label string, norm string, id long, n long")
+    want = set()
+    ids = sorted((1000 - i, n) for i, n in enumerate(norms))
+    for a, x in ids:
+        for b, y in ids:
+            if a < b:
+                jw, c = round(jaro_winkler_of(x, y), 9), hashed_cosine_of(x, y)
+                if jw >= 0.85:
+                    want.add((a, b, jw, "string_match"))
+                elif jw >= 0.6 and c >= 0.8:
+                    want.add((a, b, round(0.6 * c + 0.4 * jw, 4), "vector_assisted"))
+    assert {m for *_, m in want} == {"string_match", "vector_assisted"}
+    for part in (3, 17, 1024):
+        got = [tuple(r) for r in resolve.links(names, part).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_likeness_of_many_pairs_at_once():
+    names = ["a", "ab", "ba", "dixon", "dicksonx", "martha", "marhta", "aaaaaaaaaa", "aabbaabbaa", "日本語", "日語本", "the_ab" * 11, "the_ba" * 11, "dwayne_pictures", "duane_pictures"] + [chr(0x4E00 + i) * 2 for i in range(130)]
+    many = Likeness(names)
+    a, b = (x.ravel() for x in np.meshgrid(np.arange(len(names)), np.arange(len(names))))
+    want = np.array([jaro_winkler_of(names[i], names[j]) for i, j in zip(a, b, strict=True)])
+    assert (many.jaro_winkler(a, b, 0.0) == want).all()
+    assert (many.may_reach(a, b) >= want - 1e-9).all()
+    assert (many.jaro_winkler(a, b, 0.85)[want >= 0.85] == want[want >= 0.85]).all()
+
+
 def test_greedy_merge_against_rows_in_order(spark, sf):
     e = spark.createDataFrame([(1, "t", "Person", "Christopher Nolan"), (2, "t", "Person", "Kristopher Nolan"), (3, "t", "Person", "Catherine Smith"), (4, "t", "Person", "Katherine Smith"), (5, "t", "Org", "Warner Brothers Pictures"), (6, "t", "Org", "Pictures Warner Brothers"), (7, None, "Org", "Warner Brothers"), (8, None, "Org", "warner brothers"), (9, "t", "Org", "?!")], "vertex_id long, tenant_id string, label string, entity_name string")
     got = {r["vertex_id"]: (r["canonical_id"], r["method"]) for r in resolve.greedy_merge(e).collect()}
